@@ -27,4 +27,62 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
-SQL = {"op1_decontamination": OP1}
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w FROM d GROUP BY source
+), m AS (
+  SELECT *, source_size * 2 AS most, source_size * 2 / w::DOUBLE AS edge, sum(source_size) OVER () * 1.5::DOUBLE AS whole FROM s
+), l AS (
+  SELECT *, (whole - coalesce(sum(most) OVER (ORDER BY edge, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(w) OVER (ORDER BY edge, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM m
+), t AS (
+  SELECT source, source_size, least((SELECT arg_min(level, edge) FROM l WHERE level <= edge) * w, most::DOUBLE) AS target FROM l
+), r AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS rank,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each,
+         ('0x' || substr(md5('7:' || coalesce('=' || d.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, least(floor(u + (rank + 1) * each) - floor(u + rank * each), 2)::BIGINT AS copies FROM r
+)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
+"""
+
+
+def op9() -> str:
+    """The measures and the threshold table as SQL."""
+    from lakeloom.llm.quality_rules import RULES, STOP_WORDS
+
+    rules = []
+    for r in RULES:
+        per = "1.0::DOUBLE" if r.denominator is None else f"{r.denominator}::DOUBLE"
+        rules += [f"{r.numerator}::DOUBLE {sign} {float(bound)!r}::DOUBLE * {per}" for sign, bound in ((">=", r.least), ("<=", r.most)) if bound is not None]
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), p AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), g AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM p)
+), o AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g
+), r AS (
+  SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM o WHERE n > 1) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(ws, lambda x: lower(x) IN ({stop})))::BIGINT AS n_stop_words,
+         len(ls)::BIGINT AS n_lines, len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*[-*]')))::BIGINT AS n_bullet_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '\.\.\.[\x20\x09-\x0D]*\z')))::BIGINT AS n_ellipsis_lines
+  FROM p LEFT JOIN r USING (doc_id)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+)
+SELECT *, NOT base_failed AND {' AND '.join(rules)} AS kept FROM f
+"""
+
+
+SQL = {"op1_decontamination": OP1, "op6_mixing": OP6, "op9_quality_rules": op9()}

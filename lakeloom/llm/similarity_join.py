@@ -201,6 +201,14 @@ def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
 
 
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options: Any) -> DataFrame:
+    """docs without those whose class has a smaller doc_id; of rows that share a doc_id, those of that class stay."""
+    classes = similar_classes(docs, doc_id=doc_id, **options)
+    dropped = cut(classes.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_dropped")).distinct())
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, F.col(doc_id) == F.col("_dropped"), "left_anti")
+
+
 def _links(docs: DataFrame, copies: DataFrame, width: int, bands: Bands, small: int) -> tuple[DataFrame, DataFrame]:
     """Links of every class representative as (id, n_links), counting copies, and edges (a, b) that span the links."""
     reps = only(docs, copies.select("id"))
