@@ -22,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.textcore import Roller, bounds, letter_words, texts
+from lakeloom.llm.textcore import Roller, blank_words, bounds, texts
 from lakeloom.plans.runtime import cut
 
-BUCKETS, SAMPLE, SHARE, SEED, SMOOTHING, NORMALISE = 1 << 14, 20_000, 0.8, 11, 1.0, 0.5
+BUCKETS, SAMPLE, SHARE, SEED, SMOOTHING, NORMALISE = 1 << 14, 20_000, 0.85, 11, 1.0, 0.5
 SCALE = 1 << 20
 
 
 def features(roller: Roller, text: bytes | None, buckets: int) -> np.ndarray:
     """Buckets of all words and word pairs."""
-    joined = letter_words(text)
+    joined = blank_words(text)
     starts, ends = bounds(joined)
     grams = np.concatenate((roller.spans(joined, starts, ends), roller.spans(joined, starts[:-1], ends[1:])))
     return (grams >> np.uint64(40)).astype(np.int64) & (buckets - 1)
