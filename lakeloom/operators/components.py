@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from lakeloom.plans.runtime import cut
 
-#: Pointer doublings in a round: a path of falling ids shrinks to an eighth.
-JUMPS = 3
-
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows ``(id, component)`` for every vertex of ``edges``; the component is its smallest id.
 
-    Each round points every vertex at its smallest neighbour if that is smaller, doubles the pointers and
-    moves the edges to where they point, so the graph shrinks until no edge is left. Self loops and null ends
+    Each round points every vertex at its smallest neighbour if that is smaller, doubles the pointers until they
+    end, and moves the edges to those ends, so the graph shrinks until no edge is left. Self loops and null ends
     are no edges: a vertex that has nothing else does not appear. Ids may be of any type that orders.
     """
     live = cut(
@@ -29,22 +26,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     found = None
     while True:
         both = live.select(F.explode(_ends()).alias("e")).select("e.*")
-        parent = both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
-        for _ in range(JUMPS):
-            parent = _follow(parent, "p", cut(parent))
-        parent = cut(parent)
-        found = parent.select(F.col("u").alias("id"), F.col("p").alias("component")) if found is None else _follow(found, "component", parent)
+        parent = cut(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")))
+        while True:
+            jumped = cut(_follow(parent, "p", parent, "moved"))
+            parent = jumped.drop("moved")
+            if jumped.where("moved").isEmpty():
+                break
+        found = parent.select(F.col("u").alias("id"), F.col("p").alias("component")) if found is None else cut(_follow(found, "component", parent))
         live = cut(_follow(_follow(live, "a", parent), "b", parent).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if live.isEmpty():
-            return cut(found)
-        found = cut(found)
+            return found
 
 
 def _ends() -> Column:
     return F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def _follow(df: DataFrame, column: str, parent: DataFrame) -> DataFrame:
-    """``column`` replaced by what it points at, where it points anywhere."""
-    to = parent.select(F.col("u").alias("_u"), F.col("p").alias("_p"))
-    return df.join(to, F.col(column) == F.col("_u"), "left").withColumn(column, F.coalesce("_p", column)).drop("_u", "_p")
+def _follow(df: DataFrame, column: str, parent: DataFrame, moved: str | None = None) -> DataFrame:
+    """``column`` replaced by what it points at, where it points anywhere; ``moved`` names a column that tells."""
+    to = parent.select(F.col("u").alias("_u"), F.col("p").alias("_p")).where("_u <> _p")
+    joined = df.join(to, F.col(column) == F.col("_u"), "left")
+    joined = joined if moved is None else joined.withColumn(moved, F.col("_p").isNotNull())
+    return joined.withColumn(column, F.coalesce("_p", column)).drop("_u", "_p")
