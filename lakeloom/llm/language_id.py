@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.llm.textcore import texts
+from lakeloom.plans.runtime import free_name
 
 LENGTH, SAMPLE, FOLDS = 300, 2_000, 5
 UNKNOWN = "und"
@@ -142,5 +143,6 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
 def accept(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.05, **options: int) -> DataFrame:
     """docs whose language is known with a score of at least ``least``, with their columns."""
     profiles = learn(docs.where(~held_out(doc_id)), text=text, lang=lang, doc_id=doc_id, **options)
-    found = predict(docs, profiles, text=text, into="_language")
-    return found.where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= least)).select(*docs.columns)
+    into = free_name(docs, "language")
+    found = predict(docs, profiles, text=text, into=into)
+    return found.where((F.col(f"{into}.lang") != UNKNOWN) & (F.col(f"{into}.score") >= least)).select(*docs.columns)

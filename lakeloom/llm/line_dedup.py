@@ -51,16 +51,20 @@ def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, divisor: int = DIVISOR, removed: str | None = None) -> DataFrame:
     """docs with the repeated chunks cut from the text; ``removed`` names a column for the number of lines cut."""
     again = repeated_chunks(docs, doc_id=doc_id, text=text, span=span, divisor=divisor)
-    both = docs.alias("d").join(again.alias("r"), F.col(f"d.{doc_id}").eqNullSafe(F.col("r.doc")) & F.xxhash64(F.col(f"d.{text}")).eqNullSafe(F.col("r.th")), "left")
-    gone = F.transform("r.starts", lambda s: F.struct(s.alias("s"), F.lit(0).alias("e"), F.lit("").alias("body"), F.lit(0).alias("live")))
-    here = F.transform(chunks(F.col(f"d.{text}"), span, divisor), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["body"].alias("body"), F.lit(1).alias("live")))
-    marked = F.transform(F.array(F.sort_array(F.concat(gone, F.transform(here, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["body"].alias("body"), c["live"].alias("live")))))), lambda xs: F.filter(xs, lambda x, j: (x["live"] == 1) & ~F.coalesce((F.get(xs, j - 1)["s"] == x["s"]) & (F.get(xs, j - 1)["live"] == 0), F.lit(False))))[0]
-    kept = both.select(*[F.col(f"d.{c}").alias(c) for c in docs.columns], F.when(F.col("r.starts").isNotNull(), marked).alias("_kept_chunks"))
-    n_kept = F.aggregate("_kept_chunks", F.lit(0).cast("long"), lambda n, c: n + c["e"] - c["s"] + 1)
-    n_lines = F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long")
-    body = F.when(F.col("_kept_chunks").isNull(), F.col(text)).otherwise(F.array_join(F.transform("_kept_chunks", lambda c: c["body"]), "\n"))
-    counted = [] if removed is None else [F.when(F.col("_kept_chunks").isNull(), F.lit(0).cast("long")).otherwise(n_lines - n_kept).alias(removed)]
-    return kept.select(*[body.alias(c) if c == text else F.col(c) for c in docs.columns if c != removed], *counted)
+    whole = docs.select(F.struct(*docs.columns).alias("d"))
+    body = F.col(f"d.{text}")
+    both = whole.join(again, F.col(f"d.{doc_id}").eqNullSafe(F.col("doc")) & F.xxhash64(body).eqNullSafe(F.col("th")), "left")
+    gone = F.transform("starts", lambda s: F.struct(s.alias("s"), F.lit(0).alias("e"), F.lit("").alias("body"), F.lit(0).alias("live")))
+    here = F.transform(chunks(body, span, divisor), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["body"].alias("body"), F.lit(1).alias("live")))
+    # Removed starts sort right before their chunks, which marks them in one pass.
+    dead = lambda x, before: F.coalesce((before["s"] == x["s"]) & (before["live"] == 0), F.lit(False))
+    left = F.transform(F.array(F.sort_array(F.concat(gone, here))), lambda xs: F.filter(xs, lambda x, j: (x["live"] == 1) & ~dead(x, F.get(xs, j - 1))))[0]
+    kept = both.select("d", F.when(F.col("starts").isNotNull(), left).alias("kept"))
+    clean = F.when(F.col("kept").isNull(), body).otherwise(F.array_join(F.transform("kept", lambda c: c["body"]), "\n"))
+    n_kept = F.aggregate("kept", F.lit(0).cast("long"), lambda n, c: n + c["e"] - c["s"] + 1)
+    n_gone = F.when(F.col("kept").isNull(), F.lit(0).cast("long")).otherwise(F.size(F.split(body, "\n", -1)).cast("long") - n_kept)
+    columns = [clean.alias(c) if c == text else F.col(f"d.{c}") for c in docs.columns if c != removed]
+    return kept.select(*columns, *([] if removed is None else [n_gone.alias(removed)]))
 
 
 def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -74,4 +74,4 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", **options: object) -> DataFr
     """docs, each row as often as the mix takes it."""
     made = copies(docs, doc_id=doc_id, whole_row=True, **options).select(F.col("doc_id").alias("_doc"), "_hash", "copies")
     both = attach(docs, made, doc_id, ["copies"], ["copies"])
-    return both.where("_c_copies > 0").withColumn("_c_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c_copies")))).select(*docs.columns)
+    return both.where("copies > 0").select("d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("d.*")

@@ -38,12 +38,13 @@ def ranked(df: DataFrame, order: list[str], group: str | None = None, into: str
 
 
 def attach(docs: DataFrame, decisions: DataFrame, doc_id: str, order: list[str], columns: list[str]) -> DataFrame:
-    """docs with ``columns`` of decisions, matched by doc_id; rows that share one are matched one to one, in an order.
+    """Rows of docs as a struct ``d``, with ``columns`` of decisions, matched by doc_id; rows that share one are matched one to one.
 
     decisions has ``_doc``, ``_hash`` (xxhash64 of the whole row) and ``columns``; ``order`` orders it among equal rows.
     """
     number = lambda *by: W.partitionBy(*by[:2]).orderBy(*by[2:])
-    rows = docs.withColumn("_hash", F.xxhash64(*docs.columns)).withColumn("_nth", F.row_number().over(number(doc_id, "_hash", doc_id)))
-    side = decisions.withColumn("_n", F.row_number().over(number("_doc", "_hash", *order))).withColumnRenamed("_hash", "_h").select("_doc", "_h", "_n", *[F.col(c).alias(f"_c_{c}") for c in columns])
-    both = rows.join(side, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_h")) & (F.col("_nth") == F.col("_n")))
-    return both.select(*docs.columns, *[F.col(f"_c_{c}") for c in columns])
+    rows = docs.select(F.struct(*docs.columns).alias("d"), F.xxhash64(*docs.columns).alias("_hash")).withColumn("_id", F.col(f"d.{doc_id}"))
+    rows = rows.withColumn("_nth", F.row_number().over(number("_id", "_hash", "_id")))
+    side = decisions.withColumn("_n", F.row_number().over(number("_doc", "_hash", *order))).withColumnRenamed("_hash", "_h").select("_doc", "_h", "_n", *columns)
+    on = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_h")) & (F.col("_nth") == F.col("_n"))
+    return rows.join(side, on).select("d", *columns)

@@ -101,4 +101,4 @@ def assign(docs: DataFrame, *, doc_id: str = "doc_id", **options: object) -> Dat
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     made = shards(docs, doc_id=doc_id, whole_row=True, **options).withColumnRenamed("doc_id", "_doc")
     both = attach(docs, made, doc_id, ["shard", "slot"], added)
-    return both.select(*[c for c in docs.columns if c not in added], *[F.col(f"_c_{c}").alias(c) for c in added])
+    return both.select(*[f"d.{c}" for c in docs.columns if c not in added], *added)
