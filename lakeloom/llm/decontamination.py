@@ -9,7 +9,7 @@ own over the documents that carries the hits found so far.
 
 Edge cases: a null or empty text has no words and no hits; null or empty items have no windows; an item with a null
 id hits words but cannot be listed; items that share an id are listed once; repeated documents are scanned alike;
-an empty benchmark leaves every document clean. A column named like ``into`` is replaced.
+an empty benchmark leaves every document clean. In ``annotate`` a column named like ``into`` is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.llm.textcore import LETTERS, Roller, bounds, letter_words, texts, windows
-from lakeloom.plans.runtime import cut
+from lakeloom.plans.runtime import cut, free_name
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
@@ -130,13 +130,15 @@ def _pass(df: DataFrame, held: Any, text: str, into: str, keep: list[str], first
     return source.mapInArrow(scan, T.StructType([*fields, T.StructField(into, HITS)]))
 
 
-def drop_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", into: str = "_decontamination_hits", **options: Any) -> DataFrame:
+def drop_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options: Any) -> DataFrame:
     """The documents that contain no window, with their columns."""
+    into = free_name(docs, "hits")
     return annotate(docs, benchmark, text=text, into=into, **options).where(F.size(f"{into}.starts") == 0).select(*docs.columns)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", into: str = "_decontamination_hits", **options: Any) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options: Any) -> DataFrame:
     """All documents with their columns; the hit words, and what stands between them, are cut from the text."""
+    into = free_name(docs, "hits")
     hit, names = annotate(docs, benchmark, text=text, into=into, **options), docs.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
