@@ -22,9 +22,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared checkpoint folder: it survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and read back from the shared checkpoint folder: it survives lost executors.
+
+    A checkpoint keeps the size estimate of its plan, and a join multiplies those of its sides: in a loop of joins the
+    estimate doubles its digits each time, until the driver has room for nothing else. So the rows get a plan without any.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
