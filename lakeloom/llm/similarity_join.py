@@ -1,16 +1,20 @@
 """N-gram Jaccard join by parity sketches.
 
 A document's set holds the hashes of its distinct word n-grams. The set is split by hash into segments, and each
-segment's parity sketch is a 64-bit word in which every n-gram flips one bit: the number of differing bits bounds the
-symmetric difference from below. Two sets with Jaccard similarity of at least t differ in at most
-D = (1 - t) / (1 + t) * (|A| + |B|) n-grams, so of D + 1 + e segments at least e + 1 have equal words. Each size band fixes
-D by its largest size, and a set goes to its own band and to the next one if a partner there can be large enough.
+segment has a parity sketch in which every n-gram flips one bit: the number of differing bits bounds the symmetric
+difference from below. There are two widths. The join uses so wide a sketch that n-grams share no bits; a segment of it is
+kept as the XOR of its n-grams' hashes. The filter behind the join uses 64 bits a segment and counts them.
 
-The e spare segments pay for selectivity: a set leaves out the words of lowest bit count, as far as they are no more
-than e. Of two linked sets the one that leaves out more still leaves out at most e of the equal words, so they meet in a word.
+Two sets with Jaccard similarity of at least t differ in at most D = (1 - t) / (1 + t) * (|A| + |B|) n-grams, so of D + 1 + e
+segments at least e + 1 have equal parity. Each size band fixes D by its largest size, and a set goes to its own band and
+to the next one if a partner there can be large enough.
+
+The e spare segments pay for selectivity: a set leaves out the segments of fewest n-grams, all up to some number, as far
+as they are no more than e. Of two linked sets the one that leaves out more still leaves out at most e of the equal segments,
+so they meet in another one.
 
 1. Equal sets form a class; its smallest doc_id stands for it.
-2. Classes that meet in a word form a bucket. Buckets of at most ``small`` classes give their pairs; classes that larger
+2. Classes that meet in a segment form a bucket. Buckets of at most ``small`` classes give their pairs; classes that larger
    buckets tie together form a dense cluster, which is cut into blocks of bounded size, and each two blocks are compared
    by one task that returns links counted and a spanning forest, never all pairs.
 3. Pairs are filtered by size and by the Hamming distance of whole sketches, then verified on the sets.
@@ -41,15 +45,13 @@ from lakeloom.plans.runtime import cut
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: A size band ends at this many times its start.
-RATIO = 1.5
-#: Share of spare segments.
-SPARE = 0.1
+RATIO = 1.4
 #: Buckets of up to so many classes give pairs; larger ones go to dense clusters.
-SMALL = 24
+SMALL = 12
 #: N-grams and sets in a block of a dense cluster, on average.
 BLOCK_TOKENS, BLOCK_SETS = 250_000, 1_500
 #: Document ids that may be broadcast.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 100_000
 
 
 def ngram_set(roller: Roller, text: bytes | None, width: int) -> np.ndarray:
@@ -60,8 +62,8 @@ def ngram_set(roller: Roller, text: bytes | None, width: int) -> np.ndarray:
 class Bands:
     """Size bands, and the number of segments of each."""
 
-    def __init__(self, numerator: int, denominator: int, ratio: float = RATIO, spare: float = SPARE) -> None:
-        self.num, self.den, self.ratio, self.spare = numerator, denominator, ratio, spare
+    def __init__(self, numerator: int, denominator: int, ratio: float = RATIO) -> None:
+        self.num, self.den, self.ratio = numerator, denominator, ratio
 
     def of(self, n: int) -> int:
         """The band of a size: band i covers first(i) up to first(i + 1) - 1."""
@@ -81,9 +83,11 @@ class Bands:
 
     def segments(self, i: int) -> tuple[int, int]:
         """Segments of band i, and how many of them are spare."""
-        apart = self.most_apart(2 * (self.first(i + 1) - 1))
-        spare = int(np.ceil(self.spare * (apart + 1)))
-        return apart + 1 + spare, spare
+        apart, least = self.most_apart(2 * (self.first(i + 1) - 1)), self.first(i) * self.num / self.den
+        # As many spares as the smallest set in the band has empty segments, and a margin; a quarter at most.
+        empty = (apart + 1) * np.exp(-least / (1.05 * (apart + 1)))
+        spare = min(int(np.ceil(empty + 3.5 * np.sqrt(empty))), (apart + 3) // 4)
+        return apart + 1 + (spare if apart else 0), spare if apart else 0
 
     def joined(self, n: int) -> list[int]:
         """Bands that a set of n goes to: its own and, if a larger set there may link with it, the next one."""
@@ -94,28 +98,35 @@ class Bands:
         return list(range(i, top + 1))
 
 
+def segments_of(members: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each segment that holds n-grams of a sorted set starts in it, and its number among m."""
+    segment = (members >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+    return starts, segment[starts].astype(np.int64)
+
+
 def sketch(members: np.ndarray, m: int) -> np.ndarray:
-    """The parity word of each of m segments of a sorted set."""
+    """The 64-bit parity word of each of m segments of a sorted set."""
     words = np.zeros(m, np.uint64)
     if len(members):
-        segment = (members >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        words[segment[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(members) & np.uint64(63)), starts)
+        starts, segment = segments_of(members, m)
+        words[segment] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(members) & np.uint64(63)), starts)
     return words
 
 
 def bucket_keys(members: np.ndarray, bands: Bands) -> np.ndarray:
-    """The buckets of a set: a hash of band, segment and parity word for each word that it does not leave out."""
+    """The buckets of a set: a hash of band, segment and parity for each segment that it does not leave out."""
     found = []
     for i in bands.joined(len(members)):
         m, spare = bands.segments(i)
-        words = sketch(members, m)
-        bits = np.bitwise_count(words)
-        under = np.cumsum(np.bincount(bits, minlength=65))
-        least = int(np.searchsorted(under, spare, side="right"))
-        used = np.flatnonzero(bits >= least)
-        found.append(mixed(mixed(words[used]) + (used.astype(np.uint64) + np.uint64(i << 40)) * np.uint64(0x9E3779B97F4A7C15)))
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+        starts, held = segments_of(members, m)
+        sizes, parity = np.zeros(m, np.int64), np.zeros(m, np.uint64)
+        sizes[held] = np.diff(np.append(starts, len(members)))
+        parity[held] = np.bitwise_xor.reduceat(mixed(members), starts)
+        under = np.cumsum(np.bincount(sizes))
+        used = np.flatnonzero(sizes >= np.searchsorted(under, spare, side="right"))
+        found.append(mixed(parity[used] + (used.astype(np.uint64) + np.uint64(i << 40)) * np.uint64(0x9E3779B97F4A7C15)))
+    return np.concatenate(found) if len(members) else np.empty(0, np.uint64)
 
 
 def _map(df: DataFrame, make: Any, schema: str, width: int, text: str = "text") -> DataFrame:
@@ -125,7 +136,7 @@ def _map(df: DataFrame, make: Any, schema: str, width: int, text: str = "text")
         roller = Roller()
         for batch in batches:
             sets = (ngram_set(roller, x, width) for x in texts(batch, text))
-            yield pa.RecordBatch.from_pydict(make(batch.column(0), sets))
+            yield pa.RecordBatch.from_pydict(make(batch.column(0), sets, *batch.columns[2:]))
 
     return df.mapInArrow(run, schema)
 
@@ -157,9 +168,9 @@ def bucket_rows(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """id, n, its sketch in its own band and the one above (empty where not needed), and the set."""
+    """id, n, its sketch in its own band and the one above (empty where not needed), and the set; copies pass through."""
 
-    def make(ids: pa.Array, sets: Iterator[np.ndarray]) -> dict[str, Any]:
+    def make(ids: pa.Array, sets: Iterator[np.ndarray], copies: pa.Array) -> dict[str, Any]:
         sets = list(sets)
         as_lists = lambda x: pa.array([y.view(np.int64) for y in x], pa.list_(pa.int64()))
         own = [bands.of(len(s)) for s in sets]
@@ -170,15 +181,15 @@ def sets_of(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
             "low": as_lists([sketch(s, bands.segments(i)[0]) for s, i in zip(sets, own, strict=True)]),
             "high": as_lists([sketch(s, bands.segments(i + 1)[0]) if i + 1 in bands.joined(len(s)) else np.empty(0, np.uint64) for s, i in zip(sets, own, strict=True)]),
             "members": as_lists(sets),
+            "copies": copies,
         }
 
-    return _map(docs, make, "id long, n long, band int, low array<long>, high array<long>, members array<long>", width)
+    return _map(docs.select("doc_id", "text", "copies"), make, "id long, n long, band int, low array<long>, high array<long>, members array<long>, copies long", width)
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose doc_id is among ids(id): broadcast if they are few enough, else joined by shuffle."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+def bounded(ids: DataFrame) -> DataFrame:
+    """A checkpointed list of ids, to be broadcast if it is short enough, else joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, small: int = SMALL) -> DataFrame:
@@ -190,8 +201,9 @@ def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     keyed = cut(class_keys(docs, width))
     classes = cut(keyed.where("doc_id is not null and n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")))
-    copies = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("copies").alias("copies"))
-    links, forest = _links(docs, cut(copies), width, bands, small)
+    copies = cut(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("copies").alias("copies")))
+    others = cut(keyed.where("doc_id is not null").select(F.col("doc_id").alias("other")).distinct().join(copies, F.col("other") == F.col("id"), "left_anti"))
+    links, forest = _links(docs, copies, others, width, bands, small, repeated=keyed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty() is False)
     parts = connected_components(forest)
     degrees = links.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     state = classes.join(parts, F.col("rep") == F.col("id"), "left").drop("id").join(degrees, F.col("rep") == F.col("id"), "left")
@@ -205,13 +217,13 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options: Any) -> D
     """docs without those whose class has a smaller doc_id; of rows that share a doc_id, those of that class stay."""
     classes = similar_classes(docs, doc_id=doc_id, **options)
     dropped = cut(classes.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_dropped")).distinct())
-    few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, F.col(doc_id) == F.col("_dropped"), "left_anti")
+    return docs.join(bounded(dropped), F.col(doc_id) == F.col("_dropped"), "left_anti")
 
 
-def _links(docs: DataFrame, copies: DataFrame, width: int, bands: Bands, small: int) -> tuple[DataFrame, DataFrame]:
+def _links(docs: DataFrame, copies: DataFrame, others: DataFrame, width: int, bands: Bands, small: int, repeated: bool) -> tuple[DataFrame, DataFrame]:
     """Links of every class representative as (id, n_links), counting copies, and edges (a, b) that span the links."""
-    reps = only(docs, copies.select("id"))
+    # The other copies are the shorter list; without copies nothing is joined.
+    reps = docs.join(bounded(others), F.col("doc_id") == F.col("other"), "left_anti").where("doc_id is not null")
     by_key = W.partitionBy("key")
     met = cut(
         bucket_rows(reps, width, bands)
@@ -221,8 +233,9 @@ def _links(docs: DataFrame, copies: DataFrame, width: int, bands: Bands, small:
     )
     dense = cut(connected_components(met.where(F.col("size") > small).select(F.col("leader").alias("a"), F.col("id").alias("b"))).withColumnsRenamed({"id": "dense_id", "component": "dense"}))
     pairs = _pairs(met.where(F.col("size") <= small).select("key", "id"), dense)
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("dense_id")).distinct()
-    sets = cut(sets_of(only(docs, cut(involved)), width, bands).dropDuplicates(["id"]).join(copies, "id"))
+    involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("dense_id")).distinct().join(copies, "id"))
+    sets = sets_of(docs.join(bounded(involved), F.col("doc_id") == F.col("id")), width, bands)
+    sets = cut(sets.dropDuplicates(["id"]) if repeated else sets)
     good = cut(_verified(pairs, sets, bands))
     far = _dense(sets, dense, bands)
     ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("copies_b").alias("n_links")), F.struct(F.col("b").alias("id"), F.col("copies_a").alias("n_links"))))
@@ -253,7 +266,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     total = F.col("n_a") + F.col("n_b")
     near = (F.least("n_a", "n_b") * bands.den >= F.greatest("n_a", "n_b") * bands.num) & (distance * (bands.den + bands.num) <= total * (bands.den - bands.num))
     close = cut(both.where(near).select("a", "b", "n_a", "n_b", "copies_a", "copies_b"))
-    full = sets.select("id", "members")
+    needed = cut(close.select(F.explode(F.array("a", "b")).alias("needed")).distinct())
+    full = sets.join(bounded(needed), F.col("id") == F.col("needed"), "left_semi").select("id", "members")
     shared = F.size(F.array_intersect("members_a", "members_b"))
     checked = close.join(side(full, "a"), F.col("a") == F.col("id_a")).join(side(full, "b"), F.col("b") == F.col("id_b"))
     return checked.where(shared * (bands.den + bands.num) >= total * bands.num).select("a", "b", "copies_a", "copies_b")
@@ -261,9 +275,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
 def _dense(sets: DataFrame, dense: DataFrame, bands: Bands) -> DataFrame:
     """Links inside dense clusters: rows (id, null, n_links) and edges (a, b, null) that span them."""
-    members = sets.join(dense, F.col("id") == F.col("dense_id")).select("dense", "id", "n", "copies", "members")
-    sizes = dense.join(sets.select("id", "n"), F.col("dense_id") == F.col("id")).groupBy("dense").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("n") / BLOCK_SETS)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "dense").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = sets.join(bounded(dense), F.col("id") == F.col("dense_id")).select("dense", "id", "n", "copies", "members")
+    sizes = members.groupBy("dense").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("n") / BLOCK_SETS)).cast("int").alias("blocks"))
+    placed = members.join(bounded(cut(sizes)), "dense").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = placed.withColumn("other", other).select("dense", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "copies", "members")
     num, den = bands.num, bands.den
