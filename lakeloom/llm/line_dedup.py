@@ -1,11 +1,17 @@
-"""Line dedup [native]: content-defined chunks of lines, removed where they repeat globally.
+"""Line dedup [native]: passages of two or more lines, removed where they repeat globally.
 
-A rolling hash over the hashes of ``span`` consecutive lines ends a chunk where it is divisible by ``divisor``, so a
+The registered query takes every two lines that follow each other, one of which holds a word (``dedup_passages``). Windows
+are grouped by the SHA-256 of their bytes, and every occurrence but the first by (doc_id, hash of the text, line)
+loses its lines. So a repeated passage goes as a whole wherever it stands and whatever surrounds it, and each
+line that goes has an equal one before it that leads to one that stays. What stays: single lines between differing ones, and
+lines without a word that have no line with a word beside them.
+
+``dedup_lines`` is the sparse form, which finds only passages cut alike. A rolling hash over the hashes of ``span`` consecutive lines ends a chunk where it is divisible by ``divisor``, so a
 shared passage falls into the same chunks wherever it stands. Chunks of at least two lines that hold a word are counted
 by hash; only those whose hash repeats travel with their text, are grouped byte by byte, and lose every occurrence
 but the first by (doc_id, hash of the text, line).
 
-Only DataFrame functions are used. A chunk that a third of all rows share is counted by partial aggregation before
+Only DataFrame functions are used. A chunk or window that a third of all rows share is counted by partial aggregation before
 any shuffle, and its occurrences meet their one counted row in a join that adaptive execution can split.
 
 Edge cases: a null text stays null with no lines; an empty text is one empty line; rows with equal doc_id and text
@@ -19,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN, DIVISOR = 2, 3
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def chunks(text: Column | str, span: int = SPAN, divisor: int = DIVISOR) -> Column:
@@ -40,7 +47,7 @@ def _cut(lines: Column, hashes: Column, span: int, divisor: int) -> Column:
 def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, divisor: int = DIVISOR) -> DataFrame:
     """Rows (doc, th, starts): the first lines of the chunks to remove, by document and hash of its text."""
     named = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("th"), F.explode(chunks(text, span, divisor)).alias("c"))
-    long = named.where((F.col("c.e") > F.col("c.s")) & F.col("c.body").rlike(r"[^\x20\x09-\x0D]")).select("doc", "th", F.col("c.s").alias("s"), F.col("c.body").alias("body"), F.xxhash64("c.body").alias("h"))
+    long = named.where((F.col("c.e") > F.col("c.s")) & F.col("c.body").rlike(WORD)).select("doc", "th", F.col("c.s").alias("s"), F.col("c.body").alias("body"), F.xxhash64("c.body").alias("h"))
     often = long.groupBy("h").agg(F.count("s").alias("n")).where("n > 1").select("h")
     found = long.join(often, "h", "left_semi")
     first = found.groupBy("h", "body").agg(F.count("s").alias("n"), F.min(F.struct("doc", "th", "s")).alias("first")).where("n > 1")
@@ -67,9 +74,39 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return kept.select(*columns, *([] if removed is None else [n_gone.alias(removed)]))
 
 
+def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc, th, starts): the first lines of the two-line windows to remove, by document and hash of its text."""
+    lines = F.split(text, "\n", -1)
+    pairs = F.transform(F.array(lines), lambda x: F.transform(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), lambda a, i: F.concat(a, F.lit("\n"), F.get(x, i + 1))))[0]
+    named = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(pairs).alias("s", "body")).where(F.col("body").rlike(WORD))
+    windows = named.select("doc", "th", "s", F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("key"))
+    first = windows.groupBy("key").agg(F.count("s").alias("n"), F.min(F.struct("doc", "th", "s")).alias("first")).where("n > 1")
+    again = windows.join(first.select("key", "first"), "key").where(~F.struct("doc", "th", "s").eqNullSafe(F.col("first")))
+    return again.groupBy("doc", "th").agg(F.collect_set("s").alias("starts"))
+
+
+def dedup_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
+    """docs with every repeated passage cut from the text; ``removed`` names a column for the number of lines cut."""
+    again = repeated_windows(docs, doc_id=doc_id, text=text)
+    whole = docs.select(F.struct(*docs.columns).alias("d"))
+    body = F.col(f"d.{text}")
+    both = whole.join(again, F.col(f"d.{doc_id}").eqNullSafe(F.col("doc")) & F.xxhash64(body).eqNullSafe(F.col("th")), "left")
+    mark = lambda at: F.struct(at.alias("at"), F.lit(0).alias("live"), F.lit("").alias("body"))
+    gone = F.flatten(F.transform("starts", lambda s: F.array(mark(s), mark(s + 1))))
+    here = F.transform(F.split(body, "\n", -1), lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("live"), x.alias("body")))
+    # Marks of removed lines sort right before their lines.
+    dead = lambda x, before: F.coalesce((before["at"] == x["at"]) & (before["live"] == 0), F.lit(False))
+    left = F.transform(F.array(F.sort_array(F.concat(gone, here))), lambda xs: F.filter(xs, lambda x, j: (x["live"] == 1) & ~dead(x, F.get(xs, j - 1))))[0]
+    kept = both.select("d", F.when(F.col("starts").isNotNull(), left).alias("kept"))
+    clean = F.when(F.col("kept").isNull(), body).otherwise(F.array_join(F.transform("kept", lambda x: x["body"]), "\n"))
+    n_gone = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size(F.split(body, "\n", -1)) - F.size("kept")).cast("long")
+    columns = [clean.alias(c) if c == text else F.col(f"d.{c}") for c in docs.columns if c != removed]
+    return kept.select(*columns, *([] if removed is None else [n_gone.alias(removed)]))
+
+
 def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines kept, n_removed lines, n_chars kept and the SHA-256 of the kept text."""
-    clean = dedup_lines(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), removed="n_removed")
+    clean = dedup_passages(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), removed="n_removed")
     return clean.select(
         "doc_id",
         F.when(F.col("text").isNull() | ((F.col("text") == "") & (F.col("n_removed") > 0)), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),

@@ -55,3 +55,61 @@ def test_edge_cases(spark):
     assert ld.report(df.limit(0)).count() == 0
     assert ld.dedup_lines(df).columns == df.columns
     assert "Python" not in ld.dedup_lines(df)._jdf.queryExecution().toString()
+
+
+def by_windows(rows):
+    """Kept text by (doc_id, text): every later occurrence of two lines that follow each other goes."""
+    texts = sorted({(i, h, t) for i, h, t in rows if t is not None})
+    seen, kept = set(), {}
+    for i, _, t in texts:
+        lines, gone = t.split("\n"), set()
+        for s, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if "".join(pair).strip(" \t\n\r\x0b\x0c"):
+                gone |= {s, s + 1} if pair in seen else set()
+                seen.add(pair)
+        kept[i, t] = [x for k, x in enumerate(lines) if k not in gone]
+    return kept
+
+
+def test_short_passages_go_whole(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(4))
+    for n in range(2, 11):
+        shared = [line() for _ in range(n)]
+        rows = []
+        for i in range(6):
+            own = [line() for _ in range(4)]
+            at = rng.randint(0, 4)
+            rows.append((i, "\n".join(own[:at] + shared + own[at:])))
+        out = {r.doc_id: r for r in ld.dedup_passages(frame(spark, rows), removed="gone").collect()}
+        assert out[0].text == rows[0][1]
+        for i, text in rows[1:]:
+            assert out[i].text.split("\n") == [x for x in text.split("\n") if x not in shared] and out[i].gone == n
+        assert {r.doc_id: r.n_removed for r in ld.report(frame(spark, rows)).collect()} == {i: n * (i > 0) for i, _ in rows}
+
+
+def test_passages_by_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 40), "\n".join(rng.choice(["a", "b", "c", "d", "", " "] + [f"w{rng.randint(0, 40)}"] * 6) for _ in range(rng.randint(1, 25)))) for _ in range(60)]
+    rows += [(1, None), (2, ""), (3, "\n\n\n"), rows[0], (50, "x\n" * 30000)]
+    df = frame(spark, rows)
+    want = by_windows([(r.doc_id, r.h, r.text) for r in df.selectExpr("doc_id", "xxhash64(text) as h", "text").collect()])
+    got = ld.dedup_passages(df.selectExpr("*", "text as whole"), removed="gone").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == (None if r.whole is None else "\n".join(want[r.doc_id, r.whole]))
+        assert r.gone == (0 if r.whole is None else r.whole.count("\n") + 1 - len(want[r.doc_id, r.whole]))
+
+
+def test_passages_keep_columns_and_stay_native(spark):
+    df = frame(spark, [(None, "a\nb"), (4, "a\nb"), (4, "a\nb")])
+    out = ld.dedup_passages(df)
+    assert out.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "a\nb"), (4, ""), (4, "")]
+    assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_whole_table_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = by_windows([(r.doc_id, r.h, r.text) for r in docs.selectExpr("doc_id", "xxhash64(text) as h", "text").collect()])
+    got = {(r.doc_id, r.whole): r.text for r in ld.dedup_passages(docs.select("doc_id", "text", docs.text.alias("whole"))).where("whole is not null").collect()}
+    assert got == {k: "\n".join(v) for k, v in want.items()}
