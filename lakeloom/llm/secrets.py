@@ -4,9 +4,12 @@ Base patterns find assignments to sensitive names, access keys and long hexadeci
 reads every assignment of source or configuration syntax (``name = "literal"``, ``name: literal``, ``name := ...``,
 ``"name" => ...``) into a name and the terms of its value: string literals, bare configuration values, names of constants and
 ``${name}`` references, joined by ``+``, ``.`` or by standing side by side. Constants are propagated: the value of a name is
-the concatenation of its terms, resolved through the document's other assignments, earlier ones first and cycles cut. A value
+the concatenation of its terms, resolved through the document's other assignments, earlier ones first; bindings that lead
+back to each other count as one value of all their literals. Each binding is resolved once, to the byte counts
+and the two ends of its value, so neither its length, its literals nor the depth of constants has a limit. A value
 is scored by how sensitive the words of its target name are, times how random the value looks; where the score
-reaches ``least``, every literal that the value is made of is a span of kind ``lexed``.
+reaches ``least``, every literal that the value is made of is a span of kind ``lexed``. Private keys in PEM form count under every
+sensitive name, quoted, bare or as a block; other values with white space only quoted and under names of sensitivity 1.
 
 Spans are in code points of the whole text, end exclusive.
 
@@ -21,7 +24,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -32,6 +35,13 @@ from lakeloom.llm.textcore import texts
 
 KINDS = ("assign", "access", "hex", "lexed")
 LEAST_SCORE = 0.5
+#: Bytes of both ends of a value that are kept: more than a placeholder and the marks of private keys have.
+EDGE = 24
+KEY_MARKS = (b"PRIVATE KEY-----", b"PRIVATE KEY BLOCK-----")
+#: A private key is longer than its first and last line.
+LEAST_KEY = 80
+CLASSES = (frozenset(range(97, 123)), frozenset(range(65, 91)), frozenset(range(48, 58)), frozenset(range(256)) - frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+TEMPLATE, BLANK = frozenset(b"<>{}"), frozenset(b" \t\n\r\x0b\x0c")
 
 #: Sensitivity of name words, and of two words that follow each other: fixed values.
 SENSITIVE = {
@@ -52,6 +62,7 @@ TARGET = re.compile(rb"([\"'`]?)(?<![A-Za-z0-9_])(?<![A-Za-z0-9_][.-])([A-Za-z_]
 STRING = re.compile(rb"[rbfuRBFU]{0,2}(\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)", re.S)
 REFERENCE = re.compile(rb"\$\{([A-Za-z_][A-Za-z0-9_.]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)")
 NAME = re.compile(rb"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*(?![A-Za-z0-9_+/=-])")
+PEM = re.compile(rb"(?:[|>][+-]?[\x20\t]*\r?\n\s*+)?(-----BEGIN\x20(?:[A-Z0-9]+\x20)*?PRIVATE\x20KEY(?:\x20BLOCK)?-----(?:(?!-----)[\s\S])*+-----END\x20[A-Z0-9\x20]*+-----)")
 BARE = re.compile(rb"[A-Za-z0-9+/_.=~!@%^&*?-]+")
 JOINER = re.compile(rb"[\x20\t]*(?:[+.][\x20\t]*(?:\\?\n[\x20\t]*)?)?")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -74,13 +85,50 @@ def name_score(name: bytes) -> float:
     return max(found)
 
 
-def literal_score(value: bytes) -> float:
-    """How much a value looks like a secret, 0 to 1: long, mixed, of high entropy and no placeholder."""
-    if len(value) < 8 or len(value) > 4096 or value.lower().decode("latin-1") in PLACEHOLDERS or re.search(rb"[\s<>{}]", value) or len(set(value)) < 4:
+class Value(NamedTuple):
+    """What a score needs of a value of any length: bytes counted in units of 2 ** power, both ends, and whether a private key is in it."""
+
+    counts: dict[int, float]
+    power: int
+    head: bytes
+    tail: bytes
+    key: bool
+
+
+def literal(value: bytes) -> Value:
+    return Value(Counter(value), 0, value[:EDGE], value[-EDGE:], any(x in value for x in KEY_MARKS))
+
+
+def concatenated(values: list[Value]) -> Value:
+    """The value of several values behind each other."""
+    if len(values) == 1:
+        return values[0]
+    power = max((v.power for v in values), default=0)
+    counts: dict[int, float] = {}
+    head, tail, key = b"", b"", False
+    for v in values:
+        for byte, n in v.counts.items():
+            counts[byte] = counts.get(byte, 0) + (n if v.power == power else math.ldexp(n, v.power - power))
+        key = key or v.key or any(x in tail + v.head for x in KEY_MARKS)
+        head = head if len(head) == EDGE else (head + v.head)[:EDGE]
+        tail = v.tail if len(v.tail) == EDGE else (tail + v.tail)[-EDGE:]
+    if sum(counts.values()) > 2**52:
+        counts, power = {byte: math.ldexp(n, -50) for byte, n in counts.items()}, power + 50
+    return Value(counts, power, head, tail, key)
+
+
+def literal_score(value: bytes | Value, sensitive: float = 0.0) -> float:
+    """How much the value of a name looks like a secret, 0 to 1: long, mixed, of high entropy and no placeholder."""
+    v = literal(value) if isinstance(value, bytes) else value
+    total = sum(v.counts.values())
+    if v.key and (v.power or total >= LEAST_KEY):
+        return 1.0
+    if len(v.head) < 8 or len(v.counts) < 4 or (len(v.head) < EDGE and v.head.lower().decode("latin-1") in PLACEHOLDERS):
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    classes = sum(bool(re.search(p, value)) for p in (rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[^A-Za-z0-9]"))
+    if not v.counts.keys().isdisjoint(TEMPLATE) or (sensitive < 1.0 and not v.counts.keys().isdisjoint(BLANK)):
+        return 0.0
+    entropy = -sum(n / total * math.log2(n / total) for n in v.counts.values() if n / total)
+    classes = sum(not v.counts.keys().isdisjoint(x) for x in CLASSES)
     return min(1.0, 0.15 + 0.17 * entropy + 0.1 * (classes - 1)) if classes > 1 or entropy > 3.2 else 0.3
 
 
@@ -104,6 +152,8 @@ def _terms(data: bytes, at: int) -> tuple[list[Term], int]:
             terms += _parts(data, m.start(1) + quote, m.end(1) - quote)
         elif (m := REFERENCE.match(data, at)) is not None:
             terms.append(Term(m[1] or m[2]))
+        elif not terms and (m := PEM.match(data, at)) is not None:
+            return [Term(m[1], m.start(1), m.end(1))], m.end()
         elif (m := NAME.match(data, at)) is not None and not terms and data[m.end() : m.end() + 1] not in (b"(", b"["):
             # A bare word is a constant if one is bound, else a configuration value.
             terms.append(Term(m[0], m.start(), m.end()))
@@ -136,34 +186,86 @@ def lexed_spans(data: bytes, least: float = LEAST_SCORE) -> list[tuple[int, int]
     """Byte spans of the literals that reach sensitive names with a score of at least ``least``."""
     if b"=" not in data and b":" not in data:
         return []
-    bound: dict[bytes, list[tuple[int, list[Term]]]] = {}
     order = list(assignments(data))
-    for at, name, terms in order:
-        bound.setdefault(name, []).append((at, terms))
-
-    def resolved(terms: list[Term], at: int, open_names: frozenset[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
-        value, places = b"", []
+    wanted = [i for i, (_, name, _) in enumerate(order) if name_score(name) >= least]
+    if not wanted:
+        return []
+    bound: dict[bytes, list[tuple[int, int]]] = {}
+    for i, (at, name, _) in enumerate(order):
+        bound.setdefault(name, []).append((at, i))
+
+    def parts(i: int) -> list[int | Term]:
+        """The terms of a binding: literals, and other bindings."""
+        at, _, terms = order[i]
+        out: list[int | Term] = []
         for t in terms:
-            known = bound.get(t.value) if (t.start < 0 or NAME.fullmatch(t.value)) and t.value not in open_names and len(open_names) < 16 else None
-            if known and (t.start < 0 or data[t.start - 1 : t.start] not in (b'"', b"'", b"`")):
-                place, inner = known[max(0, bisect_left(known, at, key=lambda x: x[0]) - 1)]
-                v, p = resolved(inner, place, open_names | {t.value})
-                value, places = value + v, places + p
+            known = bound.get(t.value) if t.start < 0 or (NAME.fullmatch(t.value) and data[t.start - 1 : t.start] not in (b'"', b"'", b"`")) else None
+            j = known[max(0, bisect_left(known, at, key=lambda x: x[0]) - 1)][1] if known else i
+            if j != i:
+                out.append(j)
             elif t.start >= 0:
-                value, places = value + t.value, [*places, (t.start, t.end)]
-            if len(value) > 4096 or len(places) > 256:
-                break
-        return value, places
+                out.append(t)
+        return out
 
+    values, groups = _resolved(wanted, parts)
     found: set[tuple[int, int]] = set()
-    for at, name, terms in order:
-        if (sensitive := name_score(name)) >= least:
-            value, places = resolved(terms, at, frozenset({name}))
-            if sensitive * literal_score(value) >= least:
-                found |= set(places)
+    listed_groups: set[int] = set()
+    for i in wanted:
+        sensitive = name_score(order[i][1])
+        if sensitive * literal_score(values[i], sensitive) < least:
+            continue
+        todo = [i]
+        while todo:
+            group = groups[todo.pop()]
+            if id(group) not in listed_groups:
+                listed_groups.add(id(group))
+                for x in (x for _, terms in group for x in terms):
+                    todo.append(x) if isinstance(x, int) else found.add((x.start, x.end))
     return sorted(found)
 
 
+def _resolved(wanted: list[int], parts: Callable[[int], list[int | Term]]) -> tuple[dict[int, Value], dict[int, list[tuple[int, list[int | Term]]]]]:
+    """The value of every binding that those wanted lead to, and the bindings with their parts that lead to each other and share it (Tarjan)."""
+    values: dict[int, Value] = {}
+    groups: dict[int, list[tuple[int, list[int | Term]]]] = {}
+    seen: dict[int, int] = {}
+    low: dict[int, int] = {}
+    terms: dict[int, list[int | Term]] = {}
+    waiting: list[int] = []
+    for root in wanted:
+        path: list[tuple[int, Iterator[int]]] = []
+        following: int | None = None if root in seen else root
+        while following is not None or path:
+            if following is not None:
+                i, following = following, None
+                seen[i] = low[i] = len(seen)
+                terms[i] = parts(i)
+                waiting.append(i)
+                path.append((i, iter([x for x in terms[i] if isinstance(x, int)])))
+            i, left = path[-1]
+            for j in left:
+                if j not in seen:
+                    following = j
+                    break
+                if j not in values:
+                    low[i] = min(low[i], seen[j])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[i])
+                if low[i] == seen[i]:
+                    cut = len(waiting) - 1
+                    while waiting[cut] != i:
+                        cut -= 1
+                    members = sorted(waiting[cut:])
+                    del waiting[cut:]
+                    value = concatenated([values[x] if isinstance(x, int) else literal(x.value) for m in members for x in terms[m] if not isinstance(x, int) or x in values])
+                    group = [(m, terms[m]) for m in members]
+                    for m in members:
+                        values[m], groups[m] = value, group
+    return values, groups
+
+
 def base_spans(data: bytes) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes of the base patterns."""
     found = []
