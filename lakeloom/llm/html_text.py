@@ -1,9 +1,11 @@
 """HTML extraction by layout-aware rendering.
 
 A tokenizer feeds a tree builder that implies missing tags (a new block ends an open paragraph, a list item ends the item
-before it, a cell ends a cell, a row ends a row, end tags close what stands open inside) and knows which elements are not
-shown: head, scripts, styles, templates, comments, ``hidden``, ``display:none``, ``visibility:hidden``, hidden inputs, the
-body of closed ``details``. The open elements render into boxes: blocks start on new lines, paragraphs, headings, lists and
+before it, a cell ends a cell, a row ends a row, the first content ends the head, end tags close what stands open inside)
+and knows which elements are not shown: head, scripts, styles, templates, comments, ``hidden``, ``display:none``,
+``visibility:hidden`` but for what is ``visible`` inside it, hidden inputs, the body of closed ``details``, the fallback of media and frames.
+Of ``svg`` the ``text`` elements and foreign objects show, of ``math`` all but annotations, of ``object`` its fallback, as
+nothing is loaded. The open elements render into boxes: blocks start on new lines, paragraphs, headings, lists and
 tables are set off by a blank line, list items carry bullets or numbers and are indented, preformatted text keeps its
 spaces, and table cells are padded to the width of their column.
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from html import unescape
+from html import escape, unescape
 from itertools import zip_longest
 
 import pyarrow as pa
@@ -29,7 +31,14 @@ from pyspark.sql import functions as F
 DEPTH = 16
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head script style template noscript title object iframe audio video canvas svg datalist colgroup math".split())
+HIDDEN = set("head script style template noscript title iframe audio video canvas datalist colgroup".split())
+#: What may stand in a head: anything else ends it.
+HEAD = set("base basefont bgsound html head link meta noframes noscript script style template title".split())
+#: Elements of svg and math that are not shown; HTML elements that end both; elements in them that hold HTML.
+FOREIGN_HIDDEN = {"svg": set("defs desc metadata title symbol clippath mask pattern marker lineargradient radialgradient filter script style".split()), "math": set("annotation annotation-xml mphantom".split())}
+FOREIGN_HIDDEN["text"] = FOREIGN_HIDDEN["svg"]
+ENDS_FOREIGN = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = {"foreignobject", "mi", "mo", "mn", "ms", "mtext"}
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr form fieldset".split())
 BLOCKS = SPACED | set("address article aside body center dd details dialog div dt figcaption footer header hgroup html legend li main menu nav optgroup option section summary caption tr td th thead tbody tfoot".split())
@@ -57,7 +66,10 @@ WALLS = {"td", "th", "caption", "table"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNDISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+#: The end of a tag that has no content, in svg and math.
+EMPTY = re.compile(r"(?:^|[\s\"'/]|\s[^\s=]+)/\Z")
 SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -90,10 +102,11 @@ class Box:
 
 
 class Element:
-    __slots__ = ("box", "hidden", "number", "rows", "tag")
+    __slots__ = ("box", "foreign", "hidden", "invisible", "number", "rows", "tag")
 
-    def __init__(self, tag: str, hidden: bool) -> None:
-        self.tag, self.hidden = tag, hidden
+    def __init__(self, tag: str, hidden: bool, invisible: bool = False, foreign: str = "") -> None:
+        #: ``hidden`` holds for all that is inside, ``invisible`` until an element is visible; ``foreign`` is svg, text (of svg) or math.
+        self.tag, self.hidden, self.invisible, self.foreign = tag, hidden, invisible, foreign
         self.box: Box | None = None
         self.rows: list[list[tuple[list[str], int]]] | None = None
         self.number = 0
@@ -112,10 +125,16 @@ class Renderer:
     def hidden(self) -> bool:
         return bool(self.stack) and self.stack[-1].hidden
 
+    @property
+    def foreign(self) -> str:
+        return self.stack[-1].foreign if self.stack else ""
+
     def text(self, raw: str) -> None:
+        if self.stack and self.stack[-1].tag == "head" and raw.strip(" \t\r\n\f"):
+            self.pop()
         if self.stack:
             inner = self.stack[-1]
-            if inner.hidden or (inner.tag == "details" and inner.number == 0) or (inner.tag in STRUCTURE and not raw.strip()):
+            if inner.hidden or inner.invisible or inner.foreign == "svg" or (inner.tag == "details" and inner.number == 0) or (inner.tag in STRUCTURE and not raw.strip()):
                 return
         body = unescape(raw) if "&" in raw else raw
         box = self.boxes[-1]
@@ -134,29 +153,48 @@ class Renderer:
         line, box.inline = "".join(box.inline), []
         box.add([line.rstrip()])
 
-    def start(self, tag: str, attributes: str) -> None:
+    def start(self, tag: str, attributes: str) -> bool:
+        """Whether the tag leaves an element open."""
+        if self.stack and self.stack[-1].tag == "head" and tag not in HEAD:
+            self.pop()
+        if tag in ENDS_FOREIGN:
+            while self.foreign:
+                self.pop()
         if tag in IMPLIED:
             closes, scope = IMPLIED[tag]
             self.close(closes, scope)
         if tag in ENDS_P:
             self.close({"p"}, P_SCOPE)
         values = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip(" /\n\t\r\f") else {}
-        hidden = self.hidden or tag in HIDDEN or "hidden" in values or bool(INVISIBLE.search(values.get("style", ""))) or (tag == "input" and values.get("type", "").lower() == "hidden")
+        hidden = self.hidden or tag in HIDDEN or "hidden" in values or bool(UNDISPLAYED.search(values.get("style", ""))) or (tag == "input" and values.get("type", "").lower() == "hidden")
         parent = self.stack[-1] if self.stack else None
         if parent is not None and parent.tag == "details" and parent.number == 0 and tag != "summary":
             hidden = True
+        around = parent.foreign if parent is not None else ""
+        foreign = "" if around and tag in HOLDS_HTML else tag if tag in ("svg", "math") else "text" if around == "svg" and tag == "text" else around
+        invisible = parent is not None and parent.invisible
+        if "style" in values or around or foreign:
+            seen = VISIBILITY.findall(values.get("style", "")) or ([values["visibility"].strip()] if (around or foreign) and "visibility" in values else [])
+            if seen and seen[-1].lower() in ("hidden", "collapse", "visible", "initial"):
+                invisible = seen[-1].lower() in ("hidden", "collapse")
+        if around:
+            hidden = hidden or tag in FOREIGN_HIDDEN[around] or values.get("display", "").strip().lower() == "none"
+        if (around or foreign) and EMPTY.search(attributes):
+            return False
         if tag in VOID:
             if not hidden:
                 if tag == "br":
                     self.keep() if self.pre else self.line()
                 elif tag == "hr":
                     self.boxes[-1].gap()
-            return
-        element = Element(tag, hidden)
+            return False
+        element = Element(tag, hidden, invisible, foreign)
         self.stack.append(element)
         self.live[tag] += 1
         if hidden:
-            return
+            return True
+        if around == "svg" and tag in ("text", "foreignobject"):
+            self.boxes[-1].flush()
         if tag in BLOCKS:
             self.boxes[-1].flush()
             if tag in SPACED and not (tag in ("ul", "ol") and self.live["li"]):
@@ -179,6 +217,7 @@ class Renderer:
                 table.rows.append([])
             element.number = min(1000, int(values["colspan"])) if re.fullmatch(r"[1-9]\d{0,3}", values.get("colspan", "")) else 1
             self.open(element)
+        return True
 
     def line(self) -> None:
         box = self.boxes[-1]
@@ -232,6 +271,8 @@ class Renderer:
         if element.hidden:
             return
         tag = element.tag
+        if tag == "foreignobject" or (tag == "text" and element.foreign):
+            self.boxes[-1].flush()
         if tag in ("pre", "textarea"):
             if self.boxes[-1].inline:
                 self.keep()
@@ -315,12 +356,16 @@ def render(html: str) -> str:
             if m[1]:
                 page.end(tag)
             else:
-                page.start(tag, m[3])
-                if tag in RAW:
+                foreign, opened = page.foreign, page.start(tag, m[3])
+                if opened and tag in RAW and (not foreign or tag in ("script", "style")):
                     close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
                     end = close.start() if close else len(html)
                     page.text(html[at:end])
                     at = end
+        elif page.foreign and token.startswith("<![CDATA["):
+            end = html.find("]]>", m.start())
+            at = len(html) if end < 0 else end + 3
+            page.text(escape(html[m.start() + 9 : len(html) if end < 0 else end]))
         elif token[0] != "<" or token == "<":
             page.text(token)
     return page.done()

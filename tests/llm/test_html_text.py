@@ -22,13 +22,40 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize(("html", "text"), CASES)
+HEADS = [
+    ("<html><head><title>T</title><p>text<p>more", "text\n\nmore"),
+    ("<head><meta charset=utf-8><link rel=x><script>no</script>\n text <b>b</b>", "text b"),
+    ("<head><style>no</style><noscript><img src=x></noscript><template><p>no</p></template><h1>yes</h1>no head", "yes\n\nno head"),
+    ("<head>\n<title>no</title>\n</head>yes", "yes"),
+    ("<p>a<head>b</head>c", "abc"),
+]
+FOREIGN = [
+    ("a<svg>no<title>no</title><desc>no</desc><g><text x=1>one <tspan>two</tspan></text><path d='M0'/><text>three</text></g></svg>b", "a\none two\nthree\nb"),
+    ("<svg><defs/><text>yes</text><defs><text>no</text></defs><style/><text>too</text><text display=none>no</text></svg>", "yes\ntoo"),
+    ("<svg><foreignObject><p>in</p><div/>html</foreignObject></svg>", "in\n\nhtml"),
+    ("<svg><path><p>broken out", "broken out"),
+    ("<svg><text><![CDATA[a<b & c>]]></text></svg>", "a<b & c>"),
+    ("so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>no</annotation></semantics></math> holds", "so x=1 holds"),
+    ("a <object data=x><param name=y>fallback</object> b", "a fallback b"),
+]
+VISIBLE = [
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes <b style='visibility:collapse'>no</b></p>no</div>", "yes"),
+    ("<div style='display:none'>no<p style='visibility:visible'>no</p></div>yes", "yes"),
+    ("<p style='visibility:hidden;visibility:visible'>yes</p><p style='backface-visibility:hidden'>too</p>", "yes\n\ntoo"),
+    ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "- yes"),
+    ("<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>b<tr><td>c<td>d</table>", "   b\nc  d"),
+    ("<svg visibility=hidden><text>no</text><text visibility=visible>yes</text></svg>", "yes"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), CASES + HEADS + FOREIGN + VISIBLE)
 def test_render(html, text):
     assert ht.render(html) == text
 
 
 def test_deep_pages_stay_linear():
     ht.render("<div><ul><li><table><tr><td>" * 5000 + "x")
+    ht.render("<svg><g>" * 20000 + "<math>" * 20000 + "<p>x")
     ht.render("<b>" * 50000 + "</i>" * 50000)
 
 
