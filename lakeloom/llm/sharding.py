@@ -5,7 +5,8 @@ of a row become its index on a Hilbert curve, rows are sorted by that index and
 rows differ by one at most. Rows near each other in all dimensions share shards, so that column statistics of a
 shard's files prune on any of them.
 
-Quantiles are those of the whole table, approximate but of bounded size; text dimensions are quantised by their first bytes.
+Quantiles are those of the whole table: of numbers approximate but of bounded size, of texts exact, by the weighted position of
+each distinct value among all, so that texts of equal first bytes part as well.
 
 Edge cases: a null text has size 1; nulls in a dimension share its lowest cell; equal texts of one source and
 language stand together; ties are ordered by checksum and doc_id; repeated rows get slots of their own; fewer rows than
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,20 +59,38 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """A number in the column's order: of a text, its first seven bytes."""
+def text_edges(df: DataFrame, column: str, cells: int) -> list[tuple[str, int]]:
+    """The texts after which a cell begins, in byte order, with its number: a text is in the cell of all rows of smaller texts."""
+    counts = cut(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0]
+    if total is None:
+        return []
+    dealt = cut(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_task", F.shiftright("_at", 33))
+    before = W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    base = dealt.groupBy("_task").agg(F.sum("n").alias("_n")).select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    upto = F.col("_base") + F.sum("n").over(W.partitionBy("_task").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    level = lambda x: F.floor(x * F.lit(cells) / F.lit(total))
+    placed = dealt.join(F.broadcast(base), "_task").select("value", "n", upto.alias("upto"))
+    edges = placed.where((level(F.col("upto")) > level(F.col("upto") - F.col("n"))) & (F.col("upto") < total)).select("value", level(F.col("upto")).alias("cell"))
+    return sorted(((r.value, int(r.cell)) for r in edges.collect()), key=lambda x: x[1])
+
+
+def as_number(df: DataFrame, column: str, bits: int) -> Column:
+    """A number in the column's order: of a text, its cell."""
     if isinstance(df.schema[column].dataType, T.StringType):
-        first = F.substring(F.encode(F.col(column), "UTF-8"), 1, 7)
-        return F.conv(F.rpad(F.hex(first), 14, "0"), 16, 10).cast("double")
+        reached = [F.when(F.col(column) > F.lit(value), F.lit(cell)) for value, cell in text_edges(df, column, 1 << bits)]
+        return F.coalesce(F.greatest(F.lit(0), F.lit(0), *reached), F.lit(0)).cast("double")
     return F.col(column).cast("double")
 
 
 def indexed(df: DataFrame, dimensions: tuple[str, ...], bits: int = BITS) -> DataFrame:
     """df with ``_index``, its place on the curve."""
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    numbered = df.select("*", *[as_number(df, c).alias(f"_d{i}") for i, c in enumerate(dimensions)])
+    numbered = df.select("*", *[as_number(df, c, bits).alias(f"_d{i}") for i, c in enumerate(dimensions)])
     edges = numbered.agg(*[F.percentile_approx(f"_d{i}", steps, 10_000).alias(f"_d{i}") for i in range(len(dimensions))]).first()
-    cuts = [np.array(e or [], float) for e in edges]
+    texts = [isinstance(df.schema[c].dataType, T.StringType) for c in dimensions]
+    cuts = [np.arange(1, 1 << bits, dtype=float) if is_text else np.array(e or [], float) for e, is_text in zip(edges, texts, strict=True)]
 
     @F.pandas_udf("long")
     def place(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

@@ -102,3 +102,15 @@ def test_shards_prune(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = sharding.assign(docs).groupBy("shard").agg({"lang": "min"}).withColumnRenamed("min(lang)", "lang")
     assert out.select("lang").distinct().count() > 1
+
+
+def test_texts_of_equal_first_bytes_get_cells_of_their_own(spark):
+    rows = [(i, "w " * (i % 50), f"https://site_{i * 7 % 16:02d}.example", "en") for i in range(1600)] + [(1600, "w", None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    names = sorted({r[2] for r in rows if r[2]})
+    assert sharding.text_edges(df, "source", 16) == [(n, i + 1) for i, n in enumerate(names[:-1])]
+    assert sharding.text_edges(df.where("source is null"), "source", 16) == []
+    few = spark.createDataFrame([(x,) for x in "a" * 20 + "b" * 60 + "c" * 20], "source string")
+    assert sharding.text_edges(few, "source", 4) == [("b", 3)]
+    whole = sharding.assign(df, dimensions=("source", "size"))
+    assert whole.select("shard", "source").where("source is not null").distinct().count() <= 72  # of 128 pairs, all if sources had no cells
