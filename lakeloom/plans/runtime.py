@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where none is set (tests), one of our own."""
+    """The shared folder named in spark.checkpoint.dir; where none is set and all runs in one process (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
         if named is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = os.path.join(tempfile.gettempdir(), "lakeloom-checkpoints")
             spark.sparkContext.setCheckpointDir(named)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -43,3 +46,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in (c.lower() for c in df.columns):
         name += "_"
     return name
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
