@@ -9,26 +9,35 @@ nothing is loaded. The open elements render into boxes: blocks start on new line
 tables are set off by a blank line, list items carry bullets or numbers and are indented, preformatted text keeps its
 spaces, and table cells are padded to the width of their column.
 
-Edge cases: a null page has null text; an empty one, or one that shows nothing, has empty text; unclosed and
-mismatched tags, stray ``<`` and unknown entities are text or ignored as browsers do; nesting beyond ``DEPTH`` lists or
-tables is rendered without further indentation or alignment, so very deep pages stay linear; repeated rows are
-rendered alike; further columns are ignored.
+A page is read once from front to back, and open elements are found by tag, not by walking the stack, so the time grows with the
+page, however it is nested. A tag without its end ends the page, as in browsers.
+
+Edge cases: a null page has null text; an empty one, or one that shows nothing, has empty text, and an empty table of pages an empty
+result; very long pages are rendered whole; unclosed and mismatched tags, stray ``<`` and unknown entities are text or ignored as browsers
+do; lists and tables nested deeper than ``DEPTH`` keep all their text but are indented and aligned no further, as the spaces alone
+would grow with the square of the page; ``colspan`` above 1000 counts as 1000, as HTML has it; cells wider than ``WIDEST`` stand as they are and widen their
+column to that at most; repeated rows are rendered alike; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import escape, unescape
-from itertools import zip_longest
+from itertools import accumulate, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.plans.runtime import col
+
 #: Nested list items and tables that get boxes of their own.
-DEPTH = 16
+DEPTH = 100
+#: Characters to which cells are padded at most.
+WIDEST = 400
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("head script style template noscript title iframe audio video canvas datalist colgroup".split())
@@ -64,12 +73,12 @@ STRUCTURE = {"table", "tr", "thead", "tbody", "tfoot", "ul", "ol", "select"}
 #: An end tag does not close elements outside the cell or table it stands in.
 WALLS = {"td", "th", "caption", "table"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: What stands before an attribute, its name, and the sign of a value.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)?(\s*=\s*)?")
+UNQUOTED = re.compile(r"[^\s>]*")
 UNDISPLAYED = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
-#: The end of a tag that has no content, in svg and math.
-EMPTY = re.compile(r"(?:^|[\s\"'/]|\s[^\s=]+)/\Z")
 SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -117,9 +126,11 @@ class Renderer:
 
     def __init__(self) -> None:
         self.stack: list[Element] = []
+        #: Places on the stack by tag, and of the elements with boxes of their own.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.boxed: list[int] = []
         self.boxes = [Box()]
         self.pre = self.nested = 0
-        self.live: Counter[str] = Counter()
 
     @property
     def hidden(self) -> bool:
@@ -153,8 +164,12 @@ class Renderer:
         line, box.inline = "".join(box.inline), []
         box.add([line.rstrip()])
 
-    def start(self, tag: str, attributes: str) -> bool:
-        """Whether the tag leaves an element open."""
+    def nearest(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of ``tags``, or -1."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def start(self, tag: str, values: dict[str, str], ended: bool = False) -> bool:
+        """Whether the tag, which may have ended itself, leaves an element open."""
         if self.stack and self.stack[-1].tag == "head" and tag not in HEAD:
             self.pop()
         if tag in ENDS_FOREIGN:
@@ -165,7 +180,6 @@ class Renderer:
             self.close(closes, scope)
         if tag in ENDS_P:
             self.close({"p"}, P_SCOPE)
-        values = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip(" /\n\t\r\f") else {}
         hidden = self.hidden or tag in HIDDEN or "hidden" in values or bool(UNDISPLAYED.search(values.get("style", ""))) or (tag == "input" and values.get("type", "").lower() == "hidden")
         parent = self.stack[-1] if self.stack else None
         if parent is not None and parent.tag == "details" and parent.number == 0 and tag != "summary":
@@ -179,7 +193,7 @@ class Renderer:
                 invisible = seen[-1].lower() in ("hidden", "collapse")
         if around:
             hidden = hidden or tag in FOREIGN_HIDDEN[around] or values.get("display", "").strip().lower() == "none"
-        if (around or foreign) and EMPTY.search(attributes):
+        if (around or foreign) and ended:
             return False
         if tag in VOID:
             if not hidden:
@@ -189,15 +203,15 @@ class Renderer:
                     self.boxes[-1].gap()
             return False
         element = Element(tag, hidden, invisible, foreign)
+        self.places[tag].append(len(self.stack))
         self.stack.append(element)
-        self.live[tag] += 1
         if hidden:
             return True
         if around == "svg" and tag in ("text", "foreignobject"):
             self.boxes[-1].flush()
         if tag in BLOCKS:
             self.boxes[-1].flush()
-            if tag in SPACED and not (tag in ("ul", "ol") and self.live["li"]):
+            if tag in SPACED and not (tag in ("ul", "ol") and self.places["li"]):
                 self.boxes[-1].blank = True
         if tag == "details":
             element.number = int("open" in values)
@@ -228,46 +242,39 @@ class Renderer:
 
     def open(self, element: Element) -> None:
         element.box = Box()
+        self.boxed.append(len(self.stack) - 1)
         self.boxes.append(element.box)
         self.nested += element.tag == "li"
 
     def table(self) -> Element | None:
-        """The innermost open table, if it aligns its cells and no cell of it is open."""
-        for e in reversed(self.stack[:-1]):
-            if e.box is not None:
-                return None
-            if e.tag == "table":
-                return e if e.rows is not None else None
-        return None
+        """The innermost open table, if it aligns its cells and no cell or item inside it is open."""
+        at = self.nearest(("table",))
+        if at < 0 or (self.boxed and self.boxed[-1] > at):
+            return None
+        return self.stack[at] if self.stack[at].rows is not None else None
 
     def end(self, tag: str) -> None:
         if tag == "br":
-            self.start("br", "")
-        elif tag == "p" and not self.live["p"]:
+            self.start("br", {})
+        elif tag == "p" and not self.places["p"]:
             self.boxes[-1].gap()
         else:
             self.close({tag}, set() if tag in WALLS | {"tr", "tbody", "thead", "tfoot", "body", "html"} else WALLS)
 
     def close(self, tags: set[str], scope: set[str]) -> None:
-        """Pop up to the outermost open element of ``tags`` inside ``scope``."""
-        if not any(self.live[t] for t in tags):
-            return
-        at = None
-        for i in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[i].tag
-            if tag in tags:
-                at = i
-                if len(tags) == 1:
-                    break
-            elif tag in scope:
-                break
-        if at is not None:
+        """Pop up to the element of ``tags`` that is innermost, or of several tags outermost, among those inside ``scope``."""
+        inside = self.nearest(scope)
+        if len(tags) == 1:
+            at = self.nearest(tags)
+        else:
+            at = min((p[i] for t in tags if (p := self.places.get(t)) and (i := bisect_right(p, inside)) < len(p)), default=-1)
+        if at > inside:
             while len(self.stack) > at:
                 self.pop()
 
     def pop(self) -> None:
         element = self.stack.pop()
-        self.live[element.tag] -= 1
+        self.places[element.tag].pop()
         if element.hidden:
             return
         tag = element.tag
@@ -279,6 +286,7 @@ class Renderer:
             self.pre -= 1
         if element.box is not None:
             box = self.boxes.pop()
+            self.boxed.pop()
             box.flush()
             while box.lines and not box.lines[-1]:
                 box.lines.pop()
@@ -288,25 +296,21 @@ class Renderer:
             elif tag == "caption":
                 self.boxes[-1].add(box.lines)
             else:
-                for e in reversed(self.stack):
-                    if e.tag == "table" and e.rows is not None:
-                        e.rows[-1].append((box.lines, element.number))
-                        break
+                self.stack[self.nearest(("table",))].rows[-1].append((box.lines, element.number))
         elif element.rows is not None:
             self.nested -= 1
             self.boxes[-1].flush()
             self.boxes[-1].add(aligned(element.rows))
         if tag in BLOCKS:
             self.boxes[-1].flush()
-            if tag in SPACED and not (tag in ("ul", "ol") and self.live["li"]):
+            if tag in SPACED and not (tag in ("ul", "ol") and self.places["li"]):
                 self.boxes[-1].blank = True
 
     def item(self, lines: list[str]) -> None:
-        owner = next((e for e in reversed(self.stack) if e.tag in ("ul", "ol", "menu")), None)
-        mark = "- "
-        if owner is not None and owner.tag == "ol":
-            owner.number += 1
-            mark = f"{owner.number}. "
+        at, mark = self.nearest(("ul", "ol", "menu")), "- "
+        if at >= 0 and self.stack[at].tag == "ol":
+            self.stack[at].number += 1
+            mark = f"{self.stack[at].number}. "
         if lines:
             self.boxes[-1].flush()
             self.boxes[-1].add([mark + lines[0], *(" " * len(mark) + x if x else "" for x in lines[1:])])
@@ -322,52 +326,95 @@ class Renderer:
 
 
 def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (cell lines, columns taken) as lines, each cell padded to its column."""
-    widths: list[int] = []
+    """Rows of (cell lines, columns taken) as lines, each cell padded to its column; columns in which no cell begins take no room."""
+    begins = sorted({at for row in rows for at in accumulate((span for _, span in row[:-1]), initial=0)})
+    places = []
+    widths = [0] * len(begins)
     for row in rows:
-        at = 0
+        here, at = [], 0
         for lines, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max(widths[at], max(map(len, lines), default=0))
+            first, last = bisect_left(begins, at), bisect_left(begins, at + span)
+            here.append((first, last))
+            if last == first + 1:
+                widths[first] = max(widths[first], min(WIDEST, max(map(len, lines), default=0)))
             at += span
+        places.append(here)
+    upto = [0, *accumulate(w + 2 for w in widths)]
     out = []
-    for row in rows:
-        places, at = [], 0
-        for _, span in row:
-            places.append(sum(widths[at : at + span]) + 2 * (span - 1))
-            at += span
+    for row, here in zip(rows, places, strict=True):
+        rooms = [min(WIDEST, upto[last] - upto[first] - 2) for first, last in here]
         for parts in zip_longest(*(lines or [""] for lines, _ in row), fillvalue=""):
-            line = "  ".join(p.ljust(w) for p, w in zip(parts, places, strict=True)).rstrip()
+            line = "  ".join(p.ljust(w) for p, w in zip(parts, rooms, strict=True)).rstrip()
             if line:
                 out.append(line)
     return out
 
 
+def attributes(html: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """The attributes of a start tag from behind its name, whether it ends itself, and the place behind it; -1 if it has no end."""
+    values: dict[str, str] = {}
+    while True:
+        m = ATTRIBUTE.match(html, at)
+        at = m.end()
+        if m[1] is None:
+            if at >= len(html):
+                return values, False, -1
+            if html[at] == ">":
+                return values, html[at - 1] == "/", at + 1
+            continue
+        value = ""
+        if m[2] is not None and at < len(html):
+            quote = html[at]
+            if quote in "\"'":
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return values, False, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                end = UNQUOTED.match(html, at).end()
+                value, at = html[at:end], end
+        values.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
+
+
 def render(html: str) -> str:
     """The visible text of a page."""
     page, at = Renderer(), 0
     while at < len(html):
-        m = TOKEN.match(html, at)
-        at = m.end()
-        token = m[0]
-        if m[2] is not None:
-            tag = m[2].lower()
-            if m[1]:
+        if html[at] != "<":
+            end = html.find("<", at)
+            end = len(html) if end < 0 else end
+            page.text(html[at:end])
+            at = end
+            continue
+        ends = html.startswith("</", at)
+        if (name := TAG_NAME.match(html, at + 1 + ends)) is not None:
+            tag = name[0].lower()
+            values, ended, at = attributes(html, name.end())
+            if at < 0:
+                break
+            if ends:
                 page.end(tag)
-            else:
-                foreign, opened = page.foreign, page.start(tag, m[3])
-                if opened and tag in RAW and (not foreign or tag in ("script", "style")):
-                    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
-                    end = close.start() if close else len(html)
-                    page.text(html[at:end])
-                    at = end
-        elif page.foreign and token.startswith("<![CDATA["):
-            end = html.find("]]>", m.start())
+                continue
+            foreign, opened = page.foreign, page.start(tag, values, ended)
+            if opened and tag in RAW and (not foreign or tag in ("script", "style")):
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+                end = close.start() if close else len(html)
+                page.text(html[at:end])
+                at = end
+        elif html.startswith("<!--", at):
+            # Comments may also end at once, as <!--> and <!--->.
+            end = html.find("-->", at + 2)
             at = len(html) if end < 0 else end + 3
-            page.text(escape(html[m.start() + 9 : len(html) if end < 0 else end]))
-        elif token[0] != "<" or token == "<":
-            page.text(token)
+        elif page.foreign and html.startswith("<![CDATA[", at):
+            end = html.find("]]>", at)
+            page.text(escape(html[at + 9 : len(html) if end < 0 else end]))
+            at = len(html) if end < 0 else end + 3
+        elif ends or html.startswith(("<!", "<?"), at):
+            end = html.find(">", at)
+            at = len(html) if end < 0 else end + 1
+        else:
+            page.text("<")
+            at += 1
     return page.done()
 
 
@@ -380,7 +427,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", html: str = "html") -
             out = [None if x is None else render(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["page_id", "text"])
 
-    return pages.select(page_id, html).mapInArrow(run, f"page_id {kind}, text string")
+    return pages.select(col(page_id), col(html)).mapInArrow(run, f"page_id {kind}, text string")
 
 
 def report(pages: DataFrame, **columns: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from lakeloom.llm import html_text as ht
@@ -17,7 +20,8 @@ CASES = [
     ("<head><title>no</title></head><body>yes", "yes"),
     ("a</p>b</div></table>c", "a\n\nbc"),
     ("", ""),
-    ("<unclosed", "<unclosed"),
+    ("a<unclosed", "a"), ("a<b title='no>no", "a"), ("a</ no>b</>c<>d<1", "abc<>d<1"), ("a<!-->b<!--->c<!no>d<?no>e", "abcde"), ("<p title=it's>yes", "yes"), ("<p title='a>b' data-x=\"c>d\">yes", "yes"),
+    ("<table><tr><td colspan=5>a<td>b<tr><td>ccc<td colspan=4>d<td>e</table>", "a       b\nccc  d  e"),
     ("a <b>bold</b><i>it</i> \n c", "a boldit c"),
 ]
 
@@ -53,10 +57,127 @@ def test_render(html, text):
     assert ht.render(html) == text
 
 
-def test_deep_pages_stay_linear():
-    ht.render("<div><ul><li><table><tr><td>" * 5000 + "x")
-    ht.render("<svg><g>" * 20000 + "<math>" * 20000 + "<p>x")
-    ht.render("<b>" * 50000 + "</i>" * 50000)
+HARD = {
+    "tags without end": lambda n: "<a " * n,
+    "quotes without end": lambda n: "<a b='" * n,
+    "items under inline tags": lambda n: "<ul>" + "<b>" * n + "<li>x</li>" * n,
+    "blocks behind a scope": lambda n: "<p><button>" + "<b>" * n + "<div></div>" * n,
+    "end tags behind a wall": lambda n: "<x><table><td>" + "<b>" * n + "</x>" * n,
+    "rows under inline tags": lambda n: "<table>" + "<b>" * n + "<tr><td>x" * n,
+    "wide cells": lambda n: "<table><tr>" + "<td colspan=1000>x" * n,
+    "deep blocks": lambda n: "<div><ul><li><table><tr><td>" * (n // 20) + "x",
+    "foreign": lambda n: "<svg><g>" * n + "<math>" * n + "<p>x",
+    "mismatched": lambda n: "<b>" * n + "</i>" * n,
+    "long cell": lambda n: "<table><tr><td>" + "x" * n * 10 + "<td>y" + "<tr><td>a<td>b" * n,
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_pages_stay_linear(name):
+    def took(n):
+        began = time.process_time()
+        out = ht.render(HARD[name](n))
+        return time.process_time() - began, len(out)
+
+    short, long = took(5_000), took(40_000)
+    # Eight times the page; a square would be sixty-four times the work.
+    assert long[0] < 24 * max(short[0], 0.02) and long[1] <= 24 * max(short[1], 100)
+
+
+def test_a_megabyte_of_open_tags_and_a_hundred_thousand_items():
+    began = time.process_time()
+    assert ht.render("x" + "<a " * 350_000) == "x"
+    assert ht.render("<ul>" + "<b>" * 1000 + "<li>x</li>" * 100_000).count("- x") == 100_000
+    assert time.process_time() - began < 60
+
+
+# A second, naive rendering: random trees are rendered by recursion over their nodes, and written out with and without the tags that may be left out.
+
+
+def tree(rng, depth=0):
+    kinds = ["text", "p", "div", "ul", "ol", "b", "hidden", "none"] if depth < 4 else ["text"]
+    kind = rng.choice(kinds)
+    if kind == "text":
+        return ("text", " ".join(rng.choices(["one", "two", "three", "x"], k=rng.randint(1, 3))))
+    if kind in ("ul", "ol"):
+        return (kind, [("li", [tree(rng, depth + 2) for _ in range(rng.randint(1, 3))]) for _ in range(rng.randint(1, 3))])
+    if kind in ("p", "b"):
+        return (kind, [("text", rng.choice(["p", "q", "r s"])) for _ in range(rng.randint(1, 2))])
+    return (kind, [tree(rng, depth + 1) for _ in range(rng.randint(1, 3))])
+
+
+def written(node, full):
+    kind, inside = node
+    if kind == "text":
+        return inside
+    body = "".join(written(x, full) for x in inside)
+    if kind in ("hidden", "none"):
+        return f"<div hidden>{body}</div>" if kind == "hidden" else f'<section style="display:none">{body}</section>'
+    return f"<{kind}>{body}" + (f"</{kind}>" if full or kind not in ("p", "li") else "")
+
+
+def naive(nodes, inside_item=False):
+    """Lines of nodes: a list of strings, with None where a blank line is due."""
+    lines, line = [], ""
+
+    def flush():
+        nonlocal line
+        if line.strip():
+            lines.append(" ".join(line.split()))
+        line = ""
+
+    for kind, inside in nodes:
+        if kind in ("text", "b"):
+            line += inside if kind == "text" else "".join(x for _, x in inside)
+        elif kind not in ("hidden", "none"):
+            flush()
+            gap = [None] if kind == "p" or (kind in ("ul", "ol") and not inside_item) else []
+            lines += gap
+            if kind in ("ul", "ol"):
+                shown = 0
+                for _, item in inside:
+                    shown += 1
+                    mark = "- " if kind == "ul" else f"{shown}. "
+                    rows = squeezed(naive(item, True))
+                    if rows:
+                        lines += [mark + rows[0], *(" " * len(mark) + x if x else "" for x in rows[1:])]
+            else:
+                lines += naive(inside, inside_item)
+            lines += gap
+    flush()
+    return lines
+
+
+def squeezed(lines):
+    """Lines with one blank line where any was due between two of them."""
+    out, due = [], False
+    for x in lines:
+        if x is None:
+            due = True
+            continue
+        out += [""] if due and out else []
+        out.append(x)
+        due = False
+    return out
+
+
+def test_rendering_equals_a_naive_one():
+    rng = random.Random(5)
+    for _ in range(1500):
+        nodes = [tree(rng) for _ in range(rng.randint(1, 4))]
+        want = "\n".join(squeezed(naive(nodes)))
+        for full in (True, False):
+            page = "".join(written(x, full) for x in nodes)
+            if full or not any(a[0] == "p" and b[0] in ("text", "b") for a, b in neighbours(nodes)):
+                assert ht.render(page) == want, page
+
+
+def neighbours(nodes):
+    """Every two nodes that follow each other: text behind an open paragraph would be read as its own."""
+    for kind, inside in nodes:
+        if kind not in ("text",):
+            yield from neighbours(inside)
+    yield from zip(nodes, nodes[1:])
 
 
 def test_report(spark, sf_dir):
