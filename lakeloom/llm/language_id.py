@@ -6,15 +6,18 @@ distance: each of its n-grams costs the difference of its ranks, or the profile'
 The nearest language wins; its score is one minus the share of the largest possible distance.
 
 Profiles are learned from labelled rows: of each language a bounded sample, by a hash of doc_id, of at most about
-``sample`` rows. Whole texts are used for learning and for prediction.
+``sample`` rows. Whole texts are used for learning and for prediction. ``accept`` keeps what reads like a learned
+language: the least score is learned from the sample, by the size of a document's profile, from texts and the same texts with their
+letters in random order, as short texts score higher by chance.
 
-Edge cases: a null text and one without letters are ``und`` with score 0, and so is every text if nothing was learned; rows
+Edge cases: an empty table gives an empty result; very long texts are counted whole; a null text and one without letters are ``und`` with score 0, and so is every text if nothing was learned; rows
 without a language or doc_id teach nothing; a row without doc_id counts as held out; equal counts are ordered by
 n-gram, equal distances by language; repeated rows are predicted alike; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from typing import Any
 
@@ -26,11 +29,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.llm.textcore import texts
-from lakeloom.plans.runtime import free_name
+from lakeloom.llm.ranking import bounded
+from lakeloom.plans.runtime import col, cut, free_name
 
 LENGTH, SAMPLE, FOLDS = 300, 2_000, 5
+#: Rows of each language whose texts, and whose letters in random order, set the least score of a known language.
+CALIBRATION, MARGIN = 200, 0.2
+#: Sizes of a document's profile from which another least score holds.
+SIZES = (0, 16, 32, 64, 96, 128, 160, 200, 250, 300)
 UNKNOWN = "und"
 
+#: Languages, sorted n-grams, and the rank of each n-gram in each language: plain data, which a worker reads without this package.
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
 
 def letter_table() -> np.ndarray:
     """By code point, whether it is a letter."""
@@ -61,39 +72,47 @@ def top(grams: np.ndarray, length: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:length]]
 
 
-class Profiles:
-    """Profiles of all languages as one sorted list of n-grams with their ranks."""
+def profiles_of(by_lang: dict[str, list[int]]) -> Model:
+    """Profiles of all languages as one sorted list of n-grams with their ranks, -1 where a language lacks one."""
+    langs = sorted(by_lang)
+    codes = np.unique(np.array([c for p in by_lang.values() for c in p], np.int64))
+    ranks = np.full((len(codes) + 1, len(langs)), -1, np.int32)
+    for j, lang in enumerate(langs):
+        ranks[np.searchsorted(codes, by_lang[lang]), j] = np.arange(len(by_lang[lang]))
+    return langs, codes, ranks
 
-    def __init__(self, by_lang: dict[str, list[int]], length: int) -> None:
-        self.langs, self.length = sorted(by_lang), length
-        self.codes = np.unique(np.array([c for p in by_lang.values() for c in p], np.int64))
-        self.ranks = np.full((len(self.codes) + 1, len(self.langs)), -1, np.int32)
-        for j, lang in enumerate(self.langs):
-            self.ranks[np.searchsorted(self.codes, by_lang[lang]), j] = np.arange(len(by_lang[lang]))
 
-    def nearest(self, profile: np.ndarray) -> tuple[str, float]:
-        if not len(profile) or not self.langs:
-            return UNKNOWN, 0.0
-        at = np.searchsorted(self.codes, profile)
-        at[at == len(self.codes)] = 0
-        rows = self.ranks[np.where(self.codes[at] == profile, at, len(self.codes))]
-        away = np.where(rows < 0, self.length, np.abs(rows - np.arange(len(profile))[:, None])).sum(axis=0)
-        best = int(away.argmin())
-        return self.langs[best], float(1 - away[best] / (self.length * len(profile)))
+def nearest(model: Model, profile: np.ndarray, length: int) -> tuple[str, float]:
+    """The language of the least out-of-place distance, and one minus its share of the largest possible one."""
+    langs, codes, ranks = model
+    if not len(profile) or not langs:
+        return UNKNOWN, 0.0
+    at = np.searchsorted(codes, profile)
+    at[at == len(codes)] = 0
+    rows = ranks[np.where(codes[at] == profile, at, len(codes))]
+    away = np.where(rows < 0, length, np.abs(rows - np.arange(len(profile))[:, None])).sum(axis=0)
+    best = int(away.argmin())
+    return langs[best], float(1 - away[best] / (length * len(profile)))
 
 
 def held_out(doc_id: str, folds: int = FOLDS) -> Column:
     """Whether a row is kept from learning: crc32 of doc_id as text is divisible by ``folds``."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(True))
+    return F.coalesce(F.crc32(col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(True))
+
 
+def sampled(docs: DataFrame, *, text: str, lang: str, doc_id: str, sample: int) -> DataFrame:
+    """lang, text and a hash h of a bounded sample of each language, written once."""
+    known = docs.select(col(lang).cast("string").alias("lang"), col(text).alias("text"), F.pmod(F.xxhash64(F.lit(1), col(doc_id)), F.lit(1_000_000)).alias("h")).where("lang is not null and text is not null and h is not null")
+    counts = bounded(cut(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))).withColumnRenamed("lang", "l"))
+    return cut(known.join(counts, F.col("lang") == F.col("l")).where(F.col("h") < F.col("share") * 1_000_000).select("lang", "text", (F.col("h") / F.col("share")).cast("int").alias("h")))
 
-def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", length: int = LENGTH, sample: int = SAMPLE) -> Profiles:
+
+def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", length: int = LENGTH, sample: int = SAMPLE) -> Model:
     """Profiles of the languages of docs, from a bounded sample of each."""
-    known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(1), doc_id).alias("h")).where("lang is not null and text is not null")
-    counts = known.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
-    picked = known.join(F.broadcast(counts.select(F.col("lang").alias("l"), share.alias("share"))), F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000).select("lang", "text")
+    return _learned(sampled(docs, text=text, lang=lang, doc_id=doc_id, sample=sample), length)
+
 
+def _learned(picked: DataFrame, length: int) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, held = letter_table(), {}
         for batch in batches:
@@ -105,44 +124,86 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
                 np.add.at(total, at, np.concatenate((was[1], n)))
                 held[name] = both, total
         for name, (codes, n) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes)), pa.array(codes), pa.array(n)], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "gram", "n"])
 
-    summed = picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    summed = picked.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     by_lang: dict[str, list[int]] = {}
     for r in summed.withColumn("rank", rank).where(F.col("rank") <= length).orderBy("lang", "rank").collect():
         by_lang.setdefault(r.lang, []).append(r.gram)
-    return Profiles(by_lang, length)
+    return profiles_of(by_lang)
 
 
-def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text", into: str = "language", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (all columns by default) and a struct ``into``: lang, score."""
+def least_scores(picked: DataFrame, model: Model, length: int = LENGTH, rows: int = CALIBRATION, sample: int = SAMPLE, margin: float = MARGIN) -> list[float]:
+    """For every size of SIZES the least score of a text in a known language.
+
+    Whole texts of the sample and their first 1, 2, 4, ... words are scored as they are and with their letters in random order. Where the 1 %
+    quantile of the real ones lies above the median of the shuffled ones, the bound is ``margin`` of the way from this to that;
+    elsewhere the two cannot be told apart and all texts pass.
+    """
+    held = picked.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_table()
+        for batch in batches:
+            sizes, real, mixed = [], [], []
+            for body, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, rng = body.split(), random.Random(h)
+                parts = [" ".join(words[: 1 << k]) for k in range(len(words).bit_length())]
+                for part in [*parts, body]:
+                    order = [c for c in part if c.isalpha()]
+                    rng.shuffle(order)
+                    other = iter(order)
+                    shuffled = "".join(next(other) if c.isalpha() else c for c in part)
+                    profile = top(ngrams(part.encode("utf-8", "replace"), letters), length)
+                    if len(profile):
+                        sizes.append(int(np.searchsorted(SIZES, len(profile), side="right")) - 1)
+                        real.append(nearest(held.value, profile, length)[1])
+                        mixed.append(nearest(held.value, top(ngrams(shuffled.encode("utf-8", "replace"), letters), length), length)[1])
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(real, pa.float64()), pa.array(mixed, pa.float64())], ["size", "real", "mixed"])
+
+    few = picked.where(F.col("h") < int(1_000_000 * min(1.0, rows / sample))).select("text", "h")
+    found = few.mapInArrow(score, "size int, real double, mixed double").groupBy("size").agg(F.percentile_approx("real", 0.01, 10_000).alias("real"), F.percentile_approx("mixed", 0.5, 10_000).alias("mixed"))
+    least = [0.0] * len(SIZES)
+    for r in found.collect():
+        if r.real > r.mixed:
+            least[r["size"]] = r.mixed + margin * (r.real - r.mixed)
+    return least
+
+
+def predict(docs: DataFrame, model: Model, *, text: str = "text", into: str = "language", keep: list[str] | None = None, length: int = LENGTH, least: list[float] | None = None) -> DataFrame:
+    """``keep`` (all columns by default) and a struct ``into``: lang, score, known (its score reaches the least one of its size)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
-    held = docs.sparkSession.sparkContext.broadcast(profiles)
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("known", pa.bool_())])
+    bound = np.zeros(len(SIZES)) if least is None else np.array(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, model = letter_table(), held.value
+        letters = letter_table()
         for batch in batches:
             out: list[dict[str, Any]] = []
             for body in texts(batch, text):
-                lang, score = model.nearest(top(ngrams(body, letters), model.length))
-                out.append({"lang": lang, "score": score})
+                profile = top(ngrams(body, letters), length)
+                lang, score = nearest(held.value, profile, length)
+                out.append({"lang": lang, "score": score, "known": lang != UNKNOWN and score >= bound[np.searchsorted(SIZES, len(profile), side="right") - 1]})
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out, kind)], [*keep, into])
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(into, T.StructType().add("lang", "string").add("score", "double"))])
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(into, T.StructType().add("lang", "string").add("score", "double").add("known", "boolean"))])
+    return docs.select(*[col(c) for c in dict.fromkeys([*keep, text])]).mapInArrow(run, schema)
 
 
-def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options: int) -> DataFrame:
+def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", length: int = LENGTH, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score; learned from the rows that are not held out."""
-    profiles = learn(docs.where(~held_out(doc_id)), text=text, lang=lang, doc_id=doc_id, **options)
-    return predict(docs, profiles, text=text, keep=[doc_id]).select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+    model = learn(docs.where(~held_out(doc_id)), text=text, lang=lang, doc_id=doc_id, length=length, sample=sample)
+    found = predict(docs, model, text=text, keep=[doc_id], into=free_name(docs, "language"), length=length)
+    into = found.columns[-1]
+    return found.select(col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(f"{into}.lang").alias("lang_pred"), F.col(f"{into}.score").alias("score"))
 
 
-def accept(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.05, **options: int) -> DataFrame:
-    """docs whose language is known with a score of at least ``least``, with their columns."""
-    profiles = learn(docs.where(~held_out(doc_id)), text=text, lang=lang, doc_id=doc_id, **options)
+def accept(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", length: int = LENGTH, sample: int = SAMPLE, calibration: int = CALIBRATION, margin: float = MARGIN) -> DataFrame:
+    """docs that read like one of the languages learned, with their columns; text of none of them goes, and text without letters."""
+    picked = sampled(docs.where(~held_out(doc_id)), text=text, lang=lang, doc_id=doc_id, sample=sample)
+    model = _learned(picked, length)
     into = free_name(docs, "language")
-    found = predict(docs, profiles, text=text, into=into)
-    return found.where((F.col(f"{into}.lang") != UNKNOWN) & (F.col(f"{into}.score") >= least)).select(*docs.columns)
+    found = predict(docs, model, text=text, into=into, length=length, least=least_scores(picked, model, length, calibration, sample, margin))
+    return found.where(f"{into}.known").select(*[col(c) for c in docs.columns])
