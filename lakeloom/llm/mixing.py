@@ -8,24 +8,24 @@ once per integer that its stretch crosses. As neighbours are of like size, the w
 The offset of a source is a hash of the seed and its name, so reruns agree.
 
 Edge cases: a null text has size 0; a null source is a source, last in order; a source without words has target 0
-and takes nothing; rows that share a doc_id are separate documents; an empty table has no sources; further columns pass through.
+and takes nothing; very long texts are counted whole and taken as rarely as their size asks; rows that share a doc_id are separate
+documents; an empty table has no sources; further columns, whatever their names and types, pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.llm.ranking import attach, bounded, ranked
-from lakeloom.plans.runtime import cut
+from lakeloom.llm.ranking import attach, bounded, ranked, row_hash, running
+from lakeloom.plans.runtime import col, cut
 
 WEIGHTS, TOTAL, CAP, SEED = (3, 1, 2), 1.5, 2, 7
 
 
 def words_of(text: str) -> Column:
     """Number of words between ASCII white space; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, cap: int = CAP) -> DataFrame:
@@ -34,16 +34,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     The level that uncapped sources get per weight is where, with sources in order of cap per weight, what the capped ones
     leave over first falls under the next cap.
     """
-    by = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), F.pmod(F.row_number().over(by) - 1, F.lit(len(weights))) + 1)
-    named = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("w", weight).withColumn("most", F.col("source_size") * cap)
-    rising = W.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    capped = F.coalesce(F.sum("most").over(rising.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    open_weight = F.sum("w").over(rising.rowsBetween(0, W.unboundedFollowing))
-    whole = F.sum("source_size").over(W.partitionBy()) * F.lit(float(total))
-    level = named.withColumn("level", (whole - capped) / open_weight).withColumn("fits", F.col("level") <= F.col("most") / F.col("w"))
-    chosen = F.coalesce(F.min(F.when(F.col("fits"), F.struct(F.col("most") / F.col("w"), "level"))).over(W.partitionBy())["level"], F.lit(float("inf")))
-    return level.withColumn("level", chosen).select("source", "source_size", F.least(F.col("level") * F.col("w"), F.col("most").cast("double")).alias("target"))
+    named = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), ["source"], into="_rank")
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), F.pmod("_rank", F.lit(len(weights))).cast("int") + 1)
+    named = cut(named.withColumn("w", weight).withColumn("most", F.col("source_size") * cap).withColumn("edge", F.col("most") / F.col("w")))
+    words, all_weights = named.agg(F.sum("source_size"), F.sum("w")).first()
+    if words is None:
+        return named.select("source", "source_size", F.lit(0.0).alias("target"))
+    rising = running(named, ["edge", "source"], {"capped": "most", "closed": "w"})
+    level = rising.withColumn("level", (F.lit(words * float(total)) - F.col("capped")) / (F.lit(all_weights) - F.col("closed")))
+    least = level.where("level <= edge").agg(F.min(F.struct("edge", "level")).alias("at")).first().at
+    chosen = F.lit(float("inf") if least is None else least.level)
+    return named.select("source", "source_size", F.least(chosen * F.col("w"), F.col("most").cast("double")).alias("target"))
 
 
 def offset(source: Column, seed: int) -> Column:
@@ -54,9 +55,9 @@ def offset(source: Column, seed: int) -> Column:
 
 def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, cap: int = CAP, seed: int = SEED, whole_row: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies (and a hash of the row)."""
-    hashed = [F.xxhash64(*docs.columns).alias("_hash")] if whole_row else []
-    narrow = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_of(text).alias("size"), *hashed))
-    goals = bounded(cut(targets(narrow, weights, total, cap)).withColumnRenamed("source", "_source"))
+    hashed = [row_hash(docs).alias("_hash")] if whole_row else []
+    narrow = cut(docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), words_of(text).alias("size"), *hashed))
+    goals = bounded(cut(targets(narrow, weights, total, cap)).withColumnRenamed("source", "_source"), 256)
     placed = ranked(narrow, ["size", "doc_id", *(["_hash"] if whole_row else [])], "source")
     joined = placed.join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
