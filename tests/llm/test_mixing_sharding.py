@@ -1,8 +1,10 @@
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import mixing, ranking, sharding
 
@@ -70,6 +72,20 @@ def test_rank_is_a_rank(spark):
         assert [x for x, _ in rows] == list(range(len(rows))) and [d for _, d in rows] == sorted(d for _, d in rows)
 
 
+def test_running_sums_and_targets_of_many_sources(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, rng.randrange(50), rng.randrange(9)) for i in range(500)], "id long, k long, v long")
+    got = {r.id: r.before for r in ranking.running(df, ["k", "id"], {"before": "v"}).collect()}
+    total = 0
+    for r in sorted(df.collect(), key=lambda r: (r.k, r.id)):
+        assert got[r.id] == total
+        total += r.v
+    sizes = {f"s{i:03d}": rng.randrange(1, 1000) for i in range(400)} | {None: 50}
+    out = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+    want = water(sizes, mixing.WEIGHTS, mixing.TOTAL, mixing.CAP)
+    assert len(out) == 401 and all(r.target == pytest.approx(want[r.source]) for r in out)
+
+
 def test_hilbert_curve_visits_all_cells_by_steps_of_one():
     for dims, bits in ((2, 3), (3, 2), (3, 3)):
         axes = np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij")
@@ -98,14 +114,40 @@ def test_shards(spark):
     assert sorted((r.shard, r.slot) for r in whole.collect()) == sorted((r.shard, r.slot) for r in out)
 
 
-def test_shards_prune(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = sharding.assign(docs).groupBy("shard").agg({"lang": "min"}).withColumnRenamed("min(lang)", "lang")
-    assert out.select("lang").distinct().count() > 1
+def test_a_filter_on_any_dimension_reads_fewer_shards_than_at_random(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.concat(F.col("doc_id").cast("string"), "text"))
+    placed = sharding.assign(docs)
+    mixed = placed.withColumn("shard", (F.hash("doc_id") % 4 + 4).cast("int"))
+
+    def files_read(rows, name, test):
+        rows.repartition(8, "shard").write.partitionBy("shard").parquet(str(tmp_path / name))
+        spans = spark.read.parquet(str(tmp_path / name)).groupBy("shard").agg(F.min("lang").alias("a"), F.max("lang").alias("b"), F.min("size").alias("c"), F.max("size").alias("d"))
+        return spans.where(test).count() / spans.count()
+
+    sizes = sorted(r.size for r in placed.select("size").collect())
+    for i, test in enumerate(["a <= 'de' and b >= 'de'", f"d >= {sizes[-len(sizes) // 20]}"]):
+        assert files_read(placed, f"curve{i}", test) <= 0.75 * files_read(mixed, f"random{i}", test)
+
+
+def test_equal_texts_share_a_shard(spark):
+    """Groups of copies over all sources: whole unless larger than a shard; each shard within one row of the others."""
+    sizes = [2] * 60 + [5] * 40 + [40] * 3 + [300]
+    texts = [f"copy {g} " + "w " * (g % 30) for g, n in enumerate(sizes) for _ in range(n)] + [f"single {i} " + "w " * (i % 30) for i in range(300)] + [None, "", None]
+    rows = [(i, t, f"s{i * 7 % 5}", "abcd"[i * 3 % 4]) for i, t in enumerate(texts)]
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    by, slots = {}, {}
+    for r in out:
+        by.setdefault(texts[r.doc_id] or "", []).append(r.shard)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    parted = {t: Counter(x) for t, x in by.items() if len(set(x)) > 1}
+    assert len(by["copy 103 " + "w " * 13]) == 300 and len(parted) <= 2, parted
+    only = sharding.shards(spark.createDataFrame([(i, "same", "s", "en") for i in range(20)], "doc_id long, text string, source string, lang string")).collect()
+    assert sorted(Counter(r.shard for r in only).values()) == [2, 2, 2, 2, 3, 3, 3, 3]
 
 
 def test_texts_of_equal_first_bytes_get_cells_of_their_own(spark):
-    rows = [(i, "w " * (i % 50), f"https://site_{i * 7 % 16:02d}.example", "en") for i in range(1600)] + [(1600, "w", None, "en")]
+    rows = [(i, f"{i:04d} " + "w " * (i % 50), f"https://site_{i * 7 % 16:02d}.example", "en") for i in range(1600)] + [(1600, "w", None, "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     names = sorted({r[2] for r in rows if r[2]})
     assert sharding.text_edges(df, "source", 16) == [(n, i + 1) for i, n in enumerate(names[:-1])]
