@@ -13,6 +13,10 @@ The e spare segments pay for selectivity: a set leaves out the segments of fewes
 as they are no more than e. Of two linked sets the one that leaves out more still leaves out at most e of the equal segments,
 so they meet in another one.
 
+Empty segments say nothing, so they must not make buckets. A set with more than e of them is sparse: it uses its other segments, in
+which it meets every linked set that is not sparse, and is split anew by another hash to meet the sparse ones, up to ``SPLITS``
+times. Only a set that is sparse every time uses its empty segments too.
+
 1. Equal sets form a class; its smallest doc_id stands for it.
 2. Classes that meet in a segment form a bucket. Buckets of at most ``small`` classes give their pairs; classes that larger
    buckets tie together form a dense cluster, which is cut into blocks of bounded size, and each two blocks are compared
@@ -23,25 +27,30 @@ so they meet in another one.
 Nothing is left out: every pair of sets at or over the threshold meets in 2 and is verified in 3.
 
 Edge cases: a null, empty or blank text has an empty set and links with nothing (its class is itself); a text of
-fewer than ``width`` words has its whole sequence as one n-gram; rows that share a doc_id count as one document with
-several texts; rows without a doc_id link with nothing and have a null class; ties go to the smaller doc_id.
-N-grams are compared by 64-bit hashes, sets by a 64-bit and a second 64-bit hash.
+fewer than ``width`` words has its whole sequence as one n-gram; very long texts are split and hashed whole, in batches of about
+``BATCH_BYTES`` or one text; ids may be of any type that orders; rows that share a doc_id but not a text are texts of one document: each
+counts the links of its own text, and they are of one class; equal rows count as one; rows without a doc_id link with nothing and have a
+null class; ties go to the smaller doc_id; an empty table gives an empty result; further columns, whatever their names, are ignored,
+and pass through ``one_of_each``. Words are hashed by the keyed 64-bit SipHash of their bytes, n-grams by mixing their words' hashes one
+after the other, sets by two independent 64-bit sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lakeloom.llm.textcore import Roller, blank_words, mixed, texts, windows
+from lakeloom.llm.textcore import mixed, texts
 from lakeloom.operators.components import connected_components
-from lakeloom.plans.runtime import cut
+from lakeloom.plans.runtime import col, cut, free_name
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: A size band ends at this many times its start.
@@ -50,13 +59,40 @@ RATIO = 1.4
 SMALL = 12
 #: N-grams and sets in a block of a dense cluster, on average.
 BLOCK_TOKENS, BLOCK_SETS = 250_000, 1_500
+#: Hash splits that a sparse set is given.
+SPLITS = 4
+#: Bytes of texts that are split into words at a time.
+BATCH_BYTES = 1 << 20
 #: Document ids that may be broadcast.
 BROADCAST_IDS = 100_000
 
 
-def ngram_set(roller: Roller, text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct n-gram hashes of a text."""
-    return np.unique(windows(roller, blank_words(text), width))
+def ngram_sets(bodies: Iterable[bytes | None], width: int) -> Iterator[np.ndarray]:
+    """Sorted distinct n-gram hashes of each text."""
+    held: list[list[bytes]] = []
+    size = 0
+    for body in bodies:
+        held.append(body.lower().split() if body else [])
+        size += len(body or b"")
+        if size >= BATCH_BYTES:
+            yield from _hashed(held, width)
+            held, size = [], 0
+    yield from _hashed(held, width)
+
+
+def _hashed(texts_words: list[list[bytes]], width: int) -> Iterator[np.ndarray]:
+    """Sets of texts given as words; each distinct word is hashed once."""
+    words = np.array([w for ws in texts_words for w in ws] or [b""], object)
+    hashes = mixed(hash_array(words, encoding="utf8", hash_key="0123456789123456", categorize=True))
+    at = 0
+    for ws in texts_words:
+        own = hashes[at : at + len(ws)]
+        at += len(ws)
+        grams = own[: len(own) - width + 1] if len(own) >= width else own[:1]
+        for k in range(1, min(width, len(own))):
+            grams = mixed(grams * np.uint64(0x9E3779B97F4A7C15) + own[k : k + len(grams)])
+        # A short sequence must not equal the front of a longer one.
+        yield np.unique(grams if len(own) >= width else mixed(grams + np.uint64(len(own))))
 
 
 class Bands:
@@ -115,76 +151,95 @@ def sketch(members: np.ndarray, m: int) -> np.ndarray:
 
 
 def bucket_keys(members: np.ndarray, bands: Bands) -> np.ndarray:
-    """The buckets of a set: a hash of band, segment and parity for each segment that it does not leave out."""
+    """The buckets of a set: a hash of band, split, segment and parity for each segment that it does not leave out."""
     found = []
     for i in bands.joined(len(members)):
         m, spare = bands.segments(i)
-        starts, held = segments_of(members, m)
-        sizes, parity = np.zeros(m, np.int64), np.zeros(m, np.uint64)
-        sizes[held] = np.diff(np.append(starts, len(members)))
-        parity[held] = np.bitwise_xor.reduceat(mixed(members), starts)
-        under = np.cumsum(np.bincount(sizes))
-        used = np.flatnonzero(sizes >= np.searchsorted(under, spare, side="right"))
-        found.append(mixed(parity[used] + (used.astype(np.uint64) + np.uint64(i << 40)) * np.uint64(0x9E3779B97F4A7C15)))
+        dealt = members
+        for split in range(SPLITS):
+            starts, held = segments_of(dealt, m)
+            sizes, parity = np.zeros(m, np.int64), np.zeros(m, np.uint64)
+            sizes[held] = np.diff(np.append(starts, len(dealt)))
+            parity[held] = np.bitwise_xor.reduceat(mixed(dealt), starts)
+            under = np.cumsum(np.bincount(sizes))
+            sparse = under[0] > spare
+            least = 1 if sparse and split < SPLITS - 1 else np.searchsorted(under, spare, side="right")
+            used = np.flatnonzero(sizes >= least)
+            found.append(mixed(parity[used] + (used.astype(np.uint64) + np.uint64((i << 40) + (split << 32))) * np.uint64(0x9E3779B97F4A7C15)))
+            if not sparse:
+                break
+            dealt = np.sort(mixed(members ^ np.uint64(0xA0761D6478BD642F * (split + 1) % 2**64)))
     return np.concatenate(found) if len(members) else np.empty(0, np.uint64)
 
 
-def _map(df: DataFrame, make: Any, schema: str, width: int, text: str = "text") -> DataFrame:
-    """mapInArrow with make(roller, ids, sets) -> columns by name."""
+def _map(df: DataFrame, make: Any, schema: T.StructType, width: int, text: str = "text") -> DataFrame:
+    """mapInArrow with make(ids, sets, other columns) -> columns by name."""
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller()
         for batch in batches:
-            sets = (ngram_set(roller, x, width) for x in texts(batch, text))
-            yield pa.RecordBatch.from_pydict(make(batch.column(0), sets, *batch.columns[2:]))
+            made = make(batch.column(0), ngram_sets(texts(batch, text), width), *batch.columns[2:])
+            yield pa.RecordBatch.from_arrays([made[n] for n in names], names)
 
     return df.mapInArrow(run, schema)
 
 
+def _schema(docs: DataFrame, id_name: str, rest: str) -> T.StructType:
+    """A column of the type of docs.doc_id, and others."""
+    return T.StructType([T.StructField(id_name, docs.schema["doc_id"].dataType), *T.StructType.fromDDL(rest).fields])
+
+
 def class_keys(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), and two hashes that stand for the set."""
+    """doc_id, n (set size), two hashes that stand for the set, and a hash of the text."""
 
-    def make(ids: pa.Array, sets: Iterator[np.ndarray]) -> dict[str, Any]:
+    def make(ids: pa.Array, sets: Iterator[np.ndarray], th: pa.Array) -> dict[str, Any]:
         n, f1, f2 = [], [], []
         for s in sets:
             n.append(len(s))
-            f1.append(int(np.bitwise_xor.reduce(mixed(s))) if len(s) else 0)
-            f2.append(int(np.add.reduce(mixed(s ^ np.uint64(0xD6E8FEB86659FD93)))) if len(s) else 0)
+            f1.append(int(np.add.reduce(mixed(s ^ np.uint64(0xD6E8FEB86659FD93)))) if len(s) else 0)
+            f2.append(int(np.add.reduce(mixed(s ^ np.uint64(0xE7037ED1A0B428DB)))) if len(s) else 0)
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return {"doc_id": ids, "n": pa.array(n, pa.int64()), "f1": as_long(f1), "f2": as_long(f2)}
+        return {"doc_id": ids, "n": pa.array(n, pa.int64()), "f1": as_long(f1), "f2": as_long(f2), "th": th}
 
-    return _map(docs, make, "doc_id long, n long, f1 long, f2 long", width)
+    return _map(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), make, _schema(docs, "doc_id", "n long, f1 long, f2 long, th long"), width)
 
 
 def bucket_rows(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """A row (key, id) for every bucket of every document."""
+    """A row (id, key) for every bucket of every document."""
 
     def make(ids: pa.Array, sets: Iterator[np.ndarray]) -> dict[str, Any]:
         keys = [bucket_keys(s, bands) for s in sets]
-        counts = [len(k) for k in keys]
-        return {"key": pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)), "id": pa.array(np.repeat(ids.to_numpy(), counts))}
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        return {"id": ids.take(pa.array(owner)), "key": pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64))}
 
-    return _map(docs, make, "key long, id long", width)
+    return _map(docs.select("doc_id", "text"), make, _schema(docs, "id", "key long"), width)
 
 
 def sets_of(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """id, n, its sketch in its own band and the one above (empty where not needed), and the set; copies pass through."""
+    """id, n, band, the sketch in every band that the set goes to, its own first, and the set; copies pass through."""
+    own_schema = _schema(docs, "id", "n long, band int, sketches array<array<long>>, members array<long>, copies long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[Any, ...]] = []
+            size = first = 0
+
+            def out(upto: int) -> pa.RecordBatch:
+                ids, copies = batch.column(0).slice(first, upto - first), batch.column(2).slice(first, upto - first)
+                n, own, sketches, members = zip(*held, strict=True)
+                return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(own, pa.int32()), pa.array(sketches, pa.list_(pa.list_(pa.int64()))), pa.array(members, pa.list_(pa.int64())), copies], own_schema.fieldNames())
 
-    def make(ids: pa.Array, sets: Iterator[np.ndarray], copies: pa.Array) -> dict[str, Any]:
-        sets = list(sets)
-        as_lists = lambda x: pa.array([y.view(np.int64) for y in x], pa.list_(pa.int64()))
-        own = [bands.of(len(s)) for s in sets]
-        return {
-            "id": ids,
-            "n": pa.array([len(s) for s in sets], pa.int64()),
-            "band": pa.array(own, pa.int32()),
-            "low": as_lists([sketch(s, bands.segments(i)[0]) for s, i in zip(sets, own, strict=True)]),
-            "high": as_lists([sketch(s, bands.segments(i + 1)[0]) if i + 1 in bands.joined(len(s)) else np.empty(0, np.uint64) for s, i in zip(sets, own, strict=True)]),
-            "members": as_lists(sets),
-            "copies": copies,
-        }
+            # Batches of a bounded number of n-grams, as sets take more room than their texts.
+            for k, s in enumerate(ngram_sets(texts(batch, "text"), width)):
+                held.append((len(s), bands.of(len(s)), [sketch(s, bands.segments(i)[0]).view(np.int64) for i in bands.joined(len(s))], s.view(np.int64)))
+                size += len(s)
+                if size >= BATCH_BYTES:
+                    yield out(k + 1)
+                    held, size, first = [], 0, k + 1
+            if held:
+                yield out(batch.num_rows)
 
-    return _map(docs.select("doc_id", "text", "copies"), make, "id long, n long, band int, low array<long>, high array<long>, members array<long>, copies long", width)
+    return docs.select("doc_id", "text", "copies").mapInArrow(run, own_schema)
 
 
 def bounded(ids: DataFrame) -> DataFrame:
@@ -198,29 +253,47 @@ def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Two documents link when denominator * |A and B| >= numerator * |A or B|.
     """
     bands = Bands(numerator, denominator)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     keyed = cut(class_keys(docs, width))
-    classes = cut(keyed.where("doc_id is not null and n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")))
-    copies = cut(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("copies").alias("copies")))
+    linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    repeated = not keyed.where(linked).groupBy("doc_id").agg(F.countDistinct("th").alias("n")).where("n > 1").isEmpty()
+    # Where rows share a doc_id but not a text, (doc_id, hash of the text) is the id inside.
+    plain = docs.schema["doc_id"].dataType
+    if repeated:
+        inner = lambda th: F.struct(F.col("doc_id"), th.alias("th"))
+        keyed, docs = keyed.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), inner(F.col("th")))), docs.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), inner(F.xxhash64("text"))))
+    real = keyed.where(linked)
+    classes = cut(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")))
+    copies = cut(classes.select(F.col("rep").alias("id"), "copies"))
     others = cut(keyed.where("doc_id is not null").select(F.col("doc_id").alias("other")).distinct().join(copies, F.col("other") == F.col("id"), "left_anti"))
-    links, forest = _links(docs, copies, others, width, bands, small, repeated=keyed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty() is False)
+    again = not keyed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    links, forest = _links(docs, copies, others, width, bands, small, again)
+    if repeated:
+        first = real.groupBy(F.col("doc_id.doc_id").alias("one")).agg(F.min(F.struct("doc_id", "f1", "f2")).alias("a"))
+        tied = real.select("f1", "f2", F.col("doc_id.doc_id").alias("two")).distinct().join(first, F.col("one") == F.col("two"))
+        of = lambda s: classes.select(F.col("f1").alias(f"f1_{s}"), F.col("f2").alias(f"f2_{s}"), F.col("rep").alias(f"rep_{s}"))
+        same = tied.join(of("a"), (F.col("a.f1") == F.col("f1_a")) & (F.col("a.f2") == F.col("f2_a"))).join(of("b"), (F.col("f1") == F.col("f1_b")) & (F.col("f2") == F.col("f2_b")))
+        forest = forest.unionByName(same.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
     parts = connected_components(forest)
     degrees = links.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     state = classes.join(parts, F.col("rep") == F.col("id"), "left").drop("id").join(degrees, F.col("rep") == F.col("id"), "left")
     state = state.select("f1", "f2", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    out = keyed.join(state, ["f1", "f2"], "left")
-    linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+    bare = (lambda c: F.col(f"{c}.doc_id")) if repeated else F.col
+    # Rows that link with nothing stay out of the join: they would all share its key.
+    met = real.join(state, ["f1", "f2"]).select(bare("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), bare("component").alias("component_id"), "n_links")
+    alone = keyed.where(~linked).select(bare("doc_id").cast(plain).alias("doc_id"), F.col("n").alias("n_shingles"), bare("doc_id").cast(plain).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return met.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options: Any) -> DataFrame:
     """docs without those whose class has a smaller doc_id; of rows that share a doc_id, those of that class stay."""
     classes = similar_classes(docs, doc_id=doc_id, **options)
-    dropped = cut(classes.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_dropped")).distinct())
-    return docs.join(bounded(dropped), F.col(doc_id) == F.col("_dropped"), "left_anti")
+    gone = free_name(docs, "dropped")
+    dropped = cut(classes.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(bounded(dropped), col(doc_id) == F.col(gone), "left_anti")
 
 
-def _links(docs: DataFrame, copies: DataFrame, others: DataFrame, width: int, bands: Bands, small: int, repeated: bool) -> tuple[DataFrame, DataFrame]:
+def _links(docs: DataFrame, copies: DataFrame, others: DataFrame, width: int, bands: Bands, small: int, again: bool) -> tuple[DataFrame, DataFrame]:
     """Links of every class representative as (id, n_links), counting copies, and edges (a, b) that span the links."""
     # The other copies are the shorter list; without copies nothing is joined.
     reps = docs.join(bounded(others), F.col("doc_id") == F.col("other"), "left_anti").where("doc_id is not null")
@@ -235,7 +308,7 @@ def _links(docs: DataFrame, copies: DataFrame, others: DataFrame, width: int, ba
     pairs = _pairs(met.where(F.col("size") <= small).select("key", "id"), dense)
     involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("dense_id")).distinct().join(copies, "id"))
     sets = sets_of(docs.join(bounded(involved), F.col("doc_id") == F.col("id")), width, bands)
-    sets = cut(sets.dropDuplicates(["id"]) if repeated else sets)
+    sets = cut(sets.dropDuplicates(["id"]) if again else sets)
     good = cut(_verified(pairs, sets, bands))
     far = _dense(sets, dense, bands)
     ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("copies_b").alias("n_links")), F.struct(F.col("b").alias("id"), F.col("copies_a").alias("n_links"))))
@@ -257,12 +330,13 @@ def _pairs(rows: DataFrame, dense: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs that link, with the copies of both."""
-    light = sets.select("id", "n", "band", "low", "high", "copies")
+    light = sets.select("id", "n", "band", "sketches", "copies")
     side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns])
     both = pairs.join(side(light, "a"), F.col("a") == F.col("id_a")).join(side(light, "b"), F.col("b") == F.col("id_b"))
-    sketch_a = F.when(F.col("band_a") < F.col("band_b"), F.col("high_a")).otherwise(F.col("low_a"))
-    sketch_b = F.when(F.col("band_b") < F.col("band_a"), F.col("high_b")).otherwise(F.col("low_b"))
-    distance = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    upper = F.greatest("band_a", "band_b")
+    in_upper = lambda s: F.get(f"sketches_{s}", upper - F.col(f"band_{s}"))
+    # Sets of sizes too far apart to link need not have a sketch in common.
+    distance = F.coalesce(F.aggregate(F.zip_with(in_upper("a"), in_upper("b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y), F.lit(0))
     total = F.col("n_a") + F.col("n_b")
     near = (F.least("n_a", "n_b") * bands.den >= F.greatest("n_a", "n_b") * bands.num) & (distance * (bands.den + bands.num) <= total * (bands.den - bands.num))
     close = cut(both.where(near).select("a", "b", "n_a", "n_b", "copies_a", "copies_b"))
@@ -283,14 +357,15 @@ def _dense(sets: DataFrame, dense: DataFrame, bands: Bands) -> DataFrame:
     num, den = bands.num, bands.den
 
     def compare(key: tuple[Any, ...], group: pa.Table) -> pa.Table:
-        _, i, j = (k.as_py() for k in key)
+        i, j = (k.as_py() for k in key[1:])
         own = group.column("own").to_numpy()
-        ids, n, copies = (group.column(c).to_numpy() for c in ("id", "n", "copies"))
-        order = np.lexsort((ids, own))
-        ids, n, copies, own = ids[order], n[order], copies[order], own[order]
+        order = np.argsort(own, kind="stable")
+        n, copies, own = group.column("n").to_numpy()[order], group.column("copies").to_numpy()[order], own[order]
+        ids = group.column("id").combine_chunks().take(pa.array(order))
         split = int(np.searchsorted(own, j)) if i != j else 0
         members = [group.column("members")[int(k)].values.to_numpy() for k in order]
-        degree, root, edges = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+        degree, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        ends: tuple[list[int], list[int]] = [], []
 
         def top(x: int) -> int:
             while root[x] != x:
@@ -301,21 +376,22 @@ def _dense(sets: DataFrame, dense: DataFrame, bands: Bands) -> DataFrame:
         rows = range(split) if i != j else range(len(ids))
         for r in rows:
             cols = np.arange(split, len(ids)) if i != j else np.arange(r + 1, len(ids))
-            total = n[r] + n[cols]
-            linked = cols[common[r, cols] * (den + num) >= total * num]
+            linked = cols[common[r, cols] * (den + num) >= (n[r] + n[cols]) * num]
             degree[r] += copies[linked].sum()
             degree[linked] += copies[r]
             for c in linked.tolist():
                 if (x := top(r)) != (y := top(c)):
                     root[max(x, y)] = min(x, y)
-                    edges.append((min(ids[r], ids[c]), max(ids[r], ids[c])))
+                    ends[0].append(r)
+                    ends[1].append(c)
         counted = np.flatnonzero(degree)
-        a = [*ids[counted].tolist(), *(int(x) for x, _ in edges)]
-        b = [*[None] * len(counted), *(int(y) for _, y in edges)]
-        links = [*degree[counted].tolist(), *[None] * len(edges)]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n_links": pa.array(links, pa.int64())})
+        a = ids.take(pa.array([*counted.tolist(), *ends[0]], pa.int64()))
+        b = ids.take(pa.array([*[None] * len(counted), *ends[1]], pa.int64()))
+        return pa.table({"a": a, "b": b, "n_links": pa.array([*degree[counted].tolist(), *[None] * len(ends[0])], pa.int64())})
 
-    return cut(tasks.groupBy("dense", "i", "j").applyInArrow(compare, "a long, b long, n_links long"))
+    kind = sets.schema["id"].dataType
+    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n_links", T.LongType())])
+    return cut(tasks.groupBy("dense", "i", "j").applyInArrow(compare, out))
 
 
 def shared_counts(members: list[np.ndarray]) -> np.ndarray:

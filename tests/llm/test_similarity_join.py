@@ -7,7 +7,7 @@ import pytest
 from lakeloom.llm import similarity_join as sj
 
 
-def brute(rows):
+def brute(rows, threshold=85):
     """Expected (n_shingles, component, links) by doc_id, from all pairs."""
     sets = {}
     for d, t in rows:
@@ -21,7 +21,7 @@ def brute(rows):
         return x
 
     for a, b in combinations(sorted(sets), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
             links[a] += 1
             links[b] += 1
             x, y = top(a), top(b)
@@ -62,6 +62,39 @@ def test_edge_cases(spark):
     assert twice == {(6, 6, 0)}
 
 
+def test_ids_of_other_types_and_looser_thresholds(spark, monkeypatch):
+    monkeypatch.setattr(sj, "BLOCK_SETS", 20)
+    rows = corpus(4, 3, 40, 4, 60)
+    named = [(f"d{i:03d}", t) for i, t in rows]
+    df = spark.createDataFrame(named, "doc_id string, text string")
+    for small in (4, 24):
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in sj.similar_classes(df, small=small).collect()} == brute(named)
+    half = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in sj.similar_classes(df, numerator=50).collect()}
+    assert half == brute(named, 50)
+
+
+def test_texts_of_one_document(spark):
+    rows = [(5, "a b c d e"), (5, "p q r s t"), (7, "a b c d e"), (3, "P q r s t"), (9, "u v w x"), (9, "u v w x"), (None, "u v w x"), (5, None)]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in sj.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 2, 3, 1), (7, 2, 3, 1), (3, 2, 3, 1), (9, 1, 9, 0), (None, 1, None, 0), (5, 0, 5, 0)}
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x", 1), (2, "A b c d", "y", 2), (3, "e", "z", 3)], "doc_id long, text string, dropped string, `a.b` int")
+    out = sj.one_of_each(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_repetitive_words_are_told_apart():
+    """Words on which polynomial hashes modulo 2 ** 64 collide."""
+    signs = b"a"
+    for _ in range(12):
+        signs += signs.translate(bytes.maketrans(b"ab", b"ba"))
+    other = signs.translate(bytes.maketrans(b"ab", b"ba"))
+    a, b = sj.ngram_sets([signs, other], 4)
+    assert len(a) == len(b) == 1 and a[0] != b[0]
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in sj.similar_classes(docs).collect()}
