@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.textcore import LETTERS, Roller, bounds, letter_words, texts, windows
+from lakeloom.llm.textcore import LETTERS, Roller, bounds, letter_words, map_batches, texts, windows
 from lakeloom.plans.runtime import col, cut, free_name
 
 WIDTH = 10
@@ -177,7 +177,7 @@ def _pass(df: DataFrame, held: Any, text: str, into: str, keep: list[str], first
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, ARROW_HITS)], [*keep, into])
 
-    return source.mapInArrow(scan, T.StructType([*fields, T.StructField(into, HITS)]))
+    return map_batches(source, scan, T.StructType([*fields, T.StructField(into, HITS)]))
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options: Any) -> DataFrame:
@@ -198,7 +198,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", *
             out = pa.array([x if x is None or not h["starts"] else _without(x, h).decode("utf-8", "replace") for x, h in zip(texts(batch, text), spans, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([out if i == at else batch.column(i) for i in range(len(names))], names)
 
-    return hit.select(*[col(c) for c in names], into).mapInArrow(clean, docs.schema)
+    return map_batches(hit.select(*[col(c) for c in names], into), clean, docs.schema)
 
 
 def _without(data: bytes, hits: dict[str, Any]) -> bytes:

@@ -6,10 +6,12 @@ the polynomial hash of the bytes between its ends, finalised to 64 bits. Equal r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Odd multiplier of the polynomial hash.
 BASE = 0x9E3779B97F4A7C15
@@ -89,3 +91,13 @@ def texts(batch: pa.RecordBatch, column: str) -> Iterator[bytes | None]:
     """The column's values as UTF-8 bytes."""
     values = batch.column(batch.schema.get_field_index(column))
     yield from (x.as_py() for x in values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary()))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow for columns of any name: Spark sees numbered ones, ``run`` the real ones."""
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
