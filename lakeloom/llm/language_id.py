@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.textcore import texts
+from lakeloom.llm.textcore import map_batches, texts
 from lakeloom.llm.ranking import bounded
 from lakeloom.plans.runtime import col, cut, free_name
 
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", into: str = "l
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out, kind)], [*keep, into])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(into, T.StructType().add("lang", "string").add("score", "double").add("known", "boolean"))])
-    return docs.select(*[col(c) for c in dict.fromkeys([*keep, text])]).mapInArrow(run, schema)
+    return map_batches(docs.select(*[col(c) for c in dict.fromkeys([*keep, text])]), run, schema)
 
 
 def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", length: int = LENGTH, sample: int = SAMPLE) -> DataFrame:

@@ -1,3 +1,7 @@
+import random
+import zlib
+from collections import Counter
+
 import numpy as np
 
 from lakeloom.llm import language_id as li
@@ -26,6 +30,58 @@ def test_held_out_accuracy(spark, sf_dir):
     assert (out.lang_pred == out.lang).mean() >= 0.95 and out.score.between(0, 1).all()
 
 
+def test_prediction_by_brute_force(spark, sf_dir):
+    """Profiles, ranks and distances with plain dictionaries over all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+
+    def counts(text):
+        found = Counter()
+        for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            p = f" {w} "
+            found.update(p[i : i + n] for n in (1, 2, 3) for i in range(len(p) - n + 1) if p[i : i + n] != " ")
+        return found
+
+    def ordered(found):
+        # Ties by the code of the n-gram: its last letter counts most.
+        return sorted(found, key=lambda g: (-found[g], tuple(ord(c) for c in reversed(g.ljust(3, "\0")))))[: li.LENGTH]
+
+    summed = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None:
+            summed.setdefault(r.lang, Counter()).update(counts(r.text))
+    profiles = {lang: {g: i for i, g in enumerate(ordered(c))} for lang, c in summed.items()}
+    want = {}
+    for r in rows:
+        own = ordered(counts(r.text))
+        away = {lang: sum(abs(p[g] - i) if g in p else li.LENGTH for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        want[r.doc_id] = (zlib.crc32(str(r.doc_id).encode()) % 5 == 0, best if own else "und", 1 - away[best] / (li.LENGTH * len(own)) if own else 0.0)
+    for r in li.report(docs).collect():
+        held, lang, score = want[r.doc_id]
+        assert (r.held_out, r.lang_pred) == (held, lang) and abs(r.score - score) < 1e-9
+
+
+def test_accept_drops_what_is_no_learned_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(4)
+    n = docs.count()
+
+    def shuffled(text):
+        letters = [c for c in text if c.isalpha()]
+        rng.shuffle(letters)
+        return "".join(letters.pop() if c.isalpha() else c for c in text)
+
+    long = [r for r in docs.collect() if len(r.text) > 300]
+    rows = [(n + i, shuffled(r.text)) for i, r in enumerate(long)]
+    first = n + len(rows)
+    rows += [(first, "qzxv kjqw zzxq vvkq wqzz xkjq"), (first + 1, "Siedzialem w domu i czytalem ksiazke o historii naszego kraju kiedy nagle zadzwonil telefon"), (first + 2, "Привет мир это русский текст"), (first + 3, "123 456"), (first + 4, None)]
+    other = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) lang", "'x' source", "cast(1 as bigint) n_chars")
+    kept = {r.doc_id for r in li.accept(docs.unionByName(other)).select("doc_id").collect()}
+    assert len([i for i in kept if i < n]) >= 0.99 * n
+    assert not [i for i in kept if i >= first] and len([i for i in kept if n <= i < first]) <= 0.1 * len(long)
+
+
 def test_edge_cases(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, None, "en"), (4, "", "de"), (5, "123 !?", None), (None, "the dog", "en"), (6, "und " * 40000, None), (6, "the the", None)]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, language double")
