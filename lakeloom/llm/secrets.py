@@ -15,7 +15,8 @@ Spans are in code points of the whole text, end exclusive.
 
 Edge cases: a null text has no spans and so has an empty one; equal spans of different kinds are all listed; ties of
 start are listed in the order of KINDS; a name bound twice takes its latest binding before the use, or else its first;
-repeated rows are scanned alike; further columns are ignored; very long texts are scanned whole.
+repeated rows are scanned alike; further columns, whatever their names, are ignored, and kept by ``redact``; very long texts are scanned
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lakeloom.llm.textcore import texts
+from lakeloom.llm.textcore import map_batches, texts
+from lakeloom.plans.runtime import col
 
 KINDS = ("assign", "access", "hex", "lexed")
 LEAST_SCORE = 0.5
@@ -304,8 +307,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least:
             out = [[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in spans(x, least)] for x in texts(batch, text)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(doc_id)), pa.array(out, ARROW_SPANS)], ["doc_id", "spans"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, spans {SPANS}")
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *T.StructType.fromDDL(f"spans {SPANS}").fields])
+    return map_batches(docs.select(col(doc_id), col(text)), run, schema)
 
 
 def listed(found: Column) -> Column:
@@ -330,7 +333,7 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mark:
             out = [None if x is None else _without(x.decode("utf-8", "replace"), spans(x), mark) for x in texts(batch, text)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def _without(text: str, found: list[tuple[int, int, int]], mark: str) -> str:

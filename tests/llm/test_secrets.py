@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from lakeloom.llm import secrets as sc
 
@@ -101,3 +102,41 @@ def test_private_keys_and_passphrases():
     assert lexed("private_key = " + " + ".join(f'"{x}"' for x in lines)) == lines
     assert lexed('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
     assert lexed('token = "correct horse battery staple"') == [] and lexed('cookie = "correct horse battery staple"') == []
+
+
+def test_lexed_spans_by_brute_force():
+    """Random programs, in order, whose values are found by plain substitution."""
+    rng = random.Random(9)
+    names = ["alpha", "beta", "db_password", "api_key", "auth_token", "title", "pin", "max_token_length", "x1"]
+    found = 0
+    for _ in range(400):
+        text, value, made, want = "", {}, {}, set()
+        for _ in range(rng.randint(1, 8)):
+            name, terms, out, spans = rng.choice(names), [], "", set()
+            text += name + rng.choice([" = ", "=", " := "])
+            for k in range(rng.randint(1, 3)):
+                text += " + " if k else ""
+                if value and rng.random() < 0.4:
+                    other = rng.choice(list(value))
+                    text += other
+                    out, spans = out + value[other], spans | made[other]
+                else:
+                    body = "".join(rng.choices("abXY12!+ " if rng.random() < 0.3 else "aZ9kQ7mLx3", k=rng.randint(1, 14)))
+                    spans |= {(len(text) + 1, len(text) + 1 + len(body))}
+                    text += f'"{body}"'
+                    out += body
+            text += "\n"
+            value[name], made[name] = out, spans
+            sensitive = sc.name_score(name.encode())
+            if sensitive >= sc.LEAST_SCORE and sensitive * sc.literal_score(out.encode(), sensitive) >= sc.LEAST_SCORE:
+                want |= spans
+        got = {(s, e) for s, k, e in sc.spans(text.encode()) if sc.KINDS[k] == "lexed"}
+        assert got == want, text
+        found += len(want)
+    assert found > 200
+
+
+def test_empty_leaves_cost_nothing():
+    text = 'z = "${q}"\n' + "".join(f"c{i} = " + " + ".join([f"c{i - 1}" if i else "z"] * 10) + "\n" for i in range(16)) + "token = c15\n"
+    began = time.process_time()
+    assert lexed(text) == [] and time.process_time() - began < 2
