@@ -31,7 +31,9 @@ from itertools import accumulate, zip_longest
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lakeloom.llm.textcore import map_batches
 from lakeloom.plans.runtime import col
 
 #: Nested list items and tables that get boxes of their own.
@@ -420,14 +422,14 @@ def render(html: str) -> str:
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """page_id and the text that each page shows."""
-    kind = pages.schema[page_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [None if x is None else render(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["page_id", "text"])
 
-    return pages.select(col(page_id), col(html)).mapInArrow(run, f"page_id {kind}, text string")
+    schema = T.StructType([T.StructField("page_id", pages.schema[page_id].dataType), T.StructField("text", T.StringType())])
+    return map_batches(pages.select(col(page_id), col(html)), run, schema)
 
 
 def report(pages: DataFrame, **columns: str) -> DataFrame:

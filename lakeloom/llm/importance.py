@@ -3,14 +3,18 @@
 Two hashed n-gram models (words and word pairs in ``buckets`` buckets, smoothed) are estimated, one of target text and one of
 all raw text. A document's log importance weight is the log ratio of the two models over its n-grams, divided by the number
 of n-grams to the power ``normalise``. Gumbel noise from a hash of doc_id is added, and the top k documents are the sample:
-a draw without replacement in proportion to the weights.
+a draw without replacement in proportion to the weights so tempered.
+
+``normalise`` is 0.5, not 0: as chance alone moves a sum over n n-grams by about the root of n, untempered sums of texts of 1 to
+20,000 words differ by length before all, and the longest texts would be drawn or left whatever they say. ``share`` is the share of documents
+drawn; 0.85 is a mild filter that leaves out the texts least like the target, and smaller shares draw harder.
 
 The raw model counts every document. The target model is fitted on a bounded sample, by hash, of about ``sample`` labelled
 rows. The k-th largest key is found exactly by narrowing a histogram, so nothing is sorted or gathered.
 
 Edge cases: a null or blank text has no n-grams, weight 0 and is never kept; keys are rounded to 2**-20, and all documents
-that tie with the k-th are kept; without target rows all weights are 0; repeated rows share their key; further columns
-are ignored; an empty table gives an empty result.
+that tie with the k-th are kept; without target rows all weights are 0; repeated rows share their key; very long texts are
+counted whole, hashed a bounded stretch at a time; further columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm.ranking import bounded
 from lakeloom.llm.textcore import Roller, blank_words, bounds, texts
-from lakeloom.plans.runtime import cut
+from lakeloom.plans.runtime import col, cut
 
 BUCKETS, SAMPLE, SHARE, SEED, SMOOTHING, NORMALISE = 1 << 14, 20_000, 0.85, 11, 1.0, 0.5
 SCALE = 1 << 20
@@ -99,12 +104,14 @@ def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
 
 def select(docs: DataFrame, target: DataFrame, *, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, buckets: int = BUCKETS, sample: int = SAMPLE, seed: int = SEED, normalise: float = NORMALISE) -> DataFrame:
     """One row per document: doc_id, n_grams, log_weight, gumbel_key, kept; target has the doc_id of target text."""
-    ids = target.select(F.col(doc_id).alias("_target")).where("_target is not null").distinct()
+    docs = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
+    ids = cut(target.select(col(doc_id).alias("target_id")).where("target_id is not null").distinct())
     fit = min(1.0, sample / max(1, ids.count()))
-    ids = ids.where(F.pmod(F.xxhash64(F.lit(seed), "_target"), F.lit(1_000_000)) < int(fit * 1_000_000))
-    ratio = log_ratio(bucket_counts(docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_target"), "left_semi"), text, buckets), bucket_counts(docs, text, buckets))
+    ids = bounded(cut(ids.where(F.pmod(F.xxhash64(F.lit(seed), "target_id"), F.lit(1_000_000)) < int(fit * 1_000_000))))
+    fitted = docs.join(ids, F.col("doc_id") == F.col("target_id"), "left_semi")
+    ratio = log_ratio(bucket_counts(fitted, "text", buckets), bucket_counts(docs, "text", buckets))
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    keyed = weights(docs, ratio, doc_id=doc_id, text=text, normalise=normalise).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    keyed = weights(docs, ratio, doc_id="doc_id", text="text", normalise=normalise).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
     keyed = cut(keyed.withColumn("_key", F.when(F.col("n_grams") > 0, F.floor(F.col("gumbel_key") * SCALE))))
     k = int(share * keyed.count())
     least = kth_largest(keyed, "_key", k)

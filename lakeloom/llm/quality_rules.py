@@ -6,7 +6,7 @@ table compares a ratio of two measures with its bounds.
 
 Edge cases: a null or blank text has no words, zero measures and fails the base rule; rules with a zero denominator
 read the ratio as 0; very long texts are sorted, not compared pairwise; repeated rows are judged alike; further
-columns are ignored. Windows are compared by 64-bit hashes within their text.
+columns, whatever their names, are ignored; an empty table gives an empty result. Windows are compared by 64-bit hashes within their text.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.plans.runtime import col
+
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: Common function words of English, French, German and Spanish, as fixed values.
@@ -67,7 +69,7 @@ def measures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id and the counts that the rules use."""
     has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     long = lambda x: x.cast("long")
-    body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    body = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("_text"))
     parts = body.select(
         "doc_id",
         "_text",
