@@ -30,10 +30,8 @@ def test_held_out_accuracy(spark, sf_dir):
     assert (out.lang_pred == out.lang).mean() >= 0.95 and out.score.between(0, 1).all()
 
 
-def test_prediction_by_brute_force(spark, sf_dir):
-    """Profiles, ranks and distances with plain dictionaries over all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select("doc_id", "text", "lang").collect()
+def brute(rows):
+    """(held out, language, score, size of the profile) by doc_id, with plain dictionaries, of rows (doc_id, text, lang)."""
 
     def counts(text):
         found = Counter()
@@ -47,18 +45,24 @@ def test_prediction_by_brute_force(spark, sf_dir):
         return sorted(found, key=lambda g: (-found[g], tuple(ord(c) for c in reversed(g.ljust(3, "\0")))))[: li.LENGTH]
 
     summed = {}
-    for r in rows:
-        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None:
-            summed.setdefault(r.lang, Counter()).update(counts(r.text))
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5 and lang is not None:
+            summed.setdefault(lang, Counter()).update(counts(text))
     profiles = {lang: {g: i for i, g in enumerate(ordered(c))} for lang, c in summed.items()}
     want = {}
-    for r in rows:
-        own = ordered(counts(r.text))
-        away = {lang: sum(abs(p[g] - i) if g in p else li.LENGTH for i, g in enumerate(own)) for lang, p in profiles.items()}
+    for i, text, _ in rows:
+        own = ordered(counts(text))
+        away = {lang: sum(abs(p[g] - k) if g in p else li.LENGTH for k, g in enumerate(own)) for lang, p in profiles.items()}
         best = min(sorted(away), key=away.get)
-        want[r.doc_id] = (zlib.crc32(str(r.doc_id).encode()) % 5 == 0, best if own else "und", 1 - away[best] / (li.LENGTH * len(own)) if own else 0.0)
+        want[i] = (zlib.crc32(str(i).encode()) % 5 == 0, best if own else "und", 1 - away[best] / (li.LENGTH * len(own)) if own else 0.0, len(own))
+    return want
+
+
+def test_prediction_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = brute([tuple(r) for r in docs.select("doc_id", "text", "lang").collect()])
     for r in li.report(docs).collect():
-        held, lang, score = want[r.doc_id]
+        held, lang, score, _ = want[r.doc_id]
         assert (r.held_out, r.lang_pred) == (held, lang) and abs(r.score - score) < 1e-9
 
 

@@ -1,4 +1,7 @@
+import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -32,6 +35,64 @@ def water(sizes, weights, total, cap):
             capped.add(s)
 
 
+def mixed_by_hand(rows):
+    """Copies by doc_id of rows (doc_id, text, source) with ids of their own."""
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    by = {}
+    for i, _, s in rows:
+        by.setdefault(s, []).append((sizes[i], i))
+    whole = {s: sum(n for n, _ in x) for s, x in by.items()}
+    target, out = water(whole, mixing.WEIGHTS, mixing.TOTAL, mixing.CAP), {}
+    for s, x in by.items():
+        each = target[s] / whole[s] if whole[s] else 0
+        u = int(hashlib.md5((f"{mixing.SEED}:" + ("" if s is None else "=" + s)).encode()).hexdigest()[:8], 16) / 2**32
+        for rank, (_, i) in enumerate(sorted(x)):
+            out[i] = min(math.floor(u + (rank + 1) * each) - math.floor(u + rank * each), mixing.CAP)
+    return out
+
+
+def sharded_by_hand(rows, hashes):
+    """(shard, slot) by doc_id of rows (doc_id, text, source, lang) with ids of their own, and hashes of their texts."""
+    size = {i: len((t or "").encode()) + 1 for i, t, _, _ in rows}
+    n, most = len(rows), 1 << sharding.BITS
+
+    def number_cells(values):
+        edges = [sorted(values)[max(0, math.ceil(k / most * n) - 1)] for k in range(1, most)]
+        return [sum(e <= v for e in edges) for v in values]
+
+    def text_cells(values):
+        counts, upto, cell = Counter(v for v in values if v is not None), 0, {}
+        total = sum(counts.values())
+        for v in sorted(counts):
+            cell[v] = upto * most // total
+            upto += counts[v]
+        return [cell.get(v, 0) for v in values]
+
+    cells = np.array([text_cells([r[3] for r in rows]), text_cells([r[2] for r in rows]), number_cells([size[r[0]] for r in rows])]).T
+    index = sharding.hilbert_index(cells, sharding.BITS).tolist()
+    groups = {}
+    for (i, t, _, _), x in zip(rows, index, strict=True):
+        groups.setdefault(t or "", []).append((x, i))
+    order = sorted((min(x for x, _ in g), hashes[t], i, t) for t, g in groups.items() for _, i in g)
+    quota = [(s + 1) * n // sharding.SHARDS - s * n // sharding.SHARDS for s in range(sharding.SHARDS)]
+    first = {}
+    for rank, (_, _, _, t) in enumerate(order):
+        first.setdefault(t, rank)
+    shards, loose = [[] for _ in quota], []
+    for _, _, i, t in order:
+        k = len(groups[t])
+        home = (2 * first[t] + k) * sharding.SHARDS // (2 * n)
+        if 1 < k <= max(n // sharding.SHARDS, 1) and len(shards[home]) < quota[home]:
+            shards[home].append(i)
+        else:
+            loose.append(i)
+    for s, q in zip(shards, quota, strict=True):
+        k = q - len(s)
+        s += loose[:k]
+        del loose[:k]
+    return {i: (s, slot) for s, ids in enumerate(shards) for slot, i in enumerate(ids)}
+
+
 def test_targets_and_taken(spark):
     out = mixing.report(frame(spark)).join(frame(spark).select("doc_id", "source").distinct(), "doc_id").collect()
     sizes = Counter()
@@ -129,6 +190,13 @@ def test_a_filter_on_any_dimension_reads_fewer_shards_than_at_random(spark, sf_d
         assert files_read(placed, f"curve{i}", test) <= 0.75 * files_read(mixed, f"random{i}", test)
 
 
+def test_shards_by_hand(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    hashes = {r.text or "": r.h for r in docs.selectExpr("text", "xxhash64(cast(coalesce(text, '') as binary)) as h").collect()}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shards(docs).collect()} == sharded_by_hand(rows, hashes)
+
+
 def test_equal_texts_share_a_shard(spark):
     """Groups of copies over all sources: whole unless larger than a shard; each shard within one row of the others."""
     sizes = [2] * 60 + [5] * 40 + [40] * 3 + [300]
