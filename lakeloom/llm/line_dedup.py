@@ -7,8 +7,8 @@ numbers.
 
 1. Chunks that hold a word are counted by hash; only documents with a hash that repeats go on, with the first lines of those chunks.
 2. There the chunks are compared byte by byte. Of equal ones the first by (doc_id, hash of the text, line) stays.
-3. Every other one is extended line by line to both sides as long as it agrees with the first one's surroundings, so the lines of
-   a passage outside its outermost boundaries go as well. All its lines are cut.
+3. Every other one is extended line by line to both sides as long as it agrees with the first one's surroundings (by 128 bits of the
+   lines' SHA-256), so the lines of a passage outside its outermost boundaries go as well. All its lines are cut.
 
 Each line that goes has an equal one before it, in the order of 2, that leads to one that stays. What stays: single lines, and
 passages with fewer than two boundaries inside, of which short ones of two or three lines are the most.
@@ -59,13 +59,13 @@ def chunks(text: Column | str, span: int = SPAN, divisor: int = DIVISOR) -> Colu
     return let(F.split(text, "\n", -1), of)
 
 
-def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(col(doc_id).alias("doc"), F.xxhash64(col(text)).alias("th"), col(text).alias("text"))
+def _key_and_text(doc_id: str, text: str) -> list[Column]:
+    return [col(doc_id).alias("doc"), F.xxhash64(col(text)).alias("th"), col(text).alias("text")]
 
 
 def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, divisor: int = DIVISOR) -> DataFrame:
     """Rows (doc, th, starts): the first lines of the chunks whose hash occurs more than once, by document and hash of its text."""
-    found = _named(docs, doc_id, text).select("doc", "th", F.explode(chunks("text", span, divisor)).alias("c")).select("doc", "th", "c.s", "c.h")
+    found = docs.select(*_key_and_text(doc_id, text)).select("doc", "th", F.explode(chunks("text", span, divisor)).alias("c")).select("doc", "th", "c.s", "c.h")
     often = found.groupBy("h").agg(F.count("s").alias("n")).where("n > 1").select("h")
     return found.join(often, "h", "left_semi").groupBy("doc", "th").agg(F.collect_set("s").alias("starts"))
 
@@ -79,18 +79,19 @@ def agreeing(a: Column, b: Column) -> Column:
 def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, divisor: int = DIVISOR) -> DataFrame:
     """Rows (gone_doc, gone_th, gone): the numbers of the lines to cut, by document and hash of its text."""
     where = candidates(docs, doc_id=doc_id, text=text, span=span, divisor=divisor).select(F.col("doc").alias("d"), F.col("th").alias("t"), "starts")
-    named = _named(docs, doc_id, text)
+    named = docs.select(*_key_and_text(doc_id, text))
     seeded = named.join(where, named.doc.eqNullSafe(where.d) & named.th.eqNullSafe(where.t)).select("doc", "th", "starts", F.split("text", "\n", -1).alias("lines"))
 
     def around(lines: Column) -> Column:
-        """Structs (s, e, body, before, after): a chunk, the lines of the chunk before it in reverse, and those of the one after it."""
+        """Structs (s, e, body, before, after): a chunk, and digests of the lines of the chunk before it, in reverse, and of the one after it."""
 
         def of(es: Column) -> Column:
             part = lambda s, n: F.slice(lines, s + 1, F.greatest(n, F.lit(0)))
 
             def chunk(s: Column, k: Column) -> Column:
                 e, earlier, later = F.get(es, k + 1), F.coalesce(F.get(es, k - 1), s), F.coalesce(F.get(es, k + 2), F.get(es, k + 1))
-                return F.struct(s.alias("s"), e.alias("e"), F.array_join(part(s, e - s + 1), "\n").alias("body"), F.reverse(part(earlier, s - earlier)).alias("before"), part(e + 1, later - e).alias("after"))
+                digests = lambda xs: F.transform(xs, lambda x: F.substring(F.unhex(F.sha2(x.cast("binary"), 256)), 1, 16))
+                return F.struct(s.alias("s"), e.alias("e"), F.array_join(part(s, e - s + 1), "\n").alias("body"), digests(F.reverse(part(earlier, s - earlier))).alias("before"), digests(part(e + 1, later - e)).alias("after"))
 
             # Marks of the starts sort right before their boundaries.
             marked = F.concat(F.transform("starts", lambda s: F.struct(s.alias("s"), F.lit(-1).alias("k"))), F.transform(es, lambda s, k: F.struct(s.alias("s"), k.alias("k"))))
@@ -112,8 +113,9 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, divisor: int = DIVISOR, removed: str | None = None) -> DataFrame:
     """docs with the repeated passages cut from the text; ``removed`` names a column for the number of lines cut."""
     again = repeated_lines(docs, doc_id=doc_id, text=text, span=span, divisor=divisor)
-    names = docs.columns
-    whole = docs.select(F.struct(*[col(c) for c in names]).alias("d"), col(doc_id).alias("doc"), F.xxhash64(col(text)).alias("th"), col(text).alias("text"))
+    rest = [c for c in docs.columns if c not in (doc_id, text, removed)]
+    # The same columns as the search shuffles, so a table of ids and texts is shuffled once for both.
+    whole = docs.select(*_key_and_text(doc_id, text), *([F.struct(*[col(c) for c in rest]).alias("rest")] if rest else []))
     both = whole.join(again, F.col("doc").eqNullSafe(F.col("gone_doc")) & F.col("th").eqNullSafe(F.col("gone_th")), "left")
     mark = lambda at, live, body: F.struct(at.alias("at"), F.lit(live).alias("live"), body.alias("body"))
     lines = F.split("text", "\n", -1)
@@ -121,9 +123,9 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # Marks of lines to cut sort right before their lines.
     dead = lambda x, before: F.coalesce((before["at"] == x["at"]) & (before["live"] == 0), F.lit(False))
     left = let(F.sort_array(marked), lambda xs: F.filter(xs, lambda x, j: (x["live"] == 1) & ~dead(x, F.get(xs, j - 1))))
-    kept = both.select("d", "text", F.size("gone").cast("long").alias("n_gone"), F.when(F.col("gone").isNotNull(), left).alias("kept"))
+    kept = both.select(*[c for c in whole.columns if c != "th"], F.size("gone").cast("long").alias("n_gone"), F.when(F.col("gone").isNotNull(), left).alias("kept"))
     clean = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda x: x["body"]), "\n"))
-    columns = [clean.alias(c) if c == text else F.col("d").getField(c).alias(c) for c in names if c != removed]
+    columns = [clean.alias(c) if c == text else F.col("doc").alias(c) if c == doc_id else F.col("rest").getField(c).alias(c) for c in docs.columns if c != removed]
     return kept.select(*columns, *([] if removed is None else [F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_gone")).cast("long").alias(removed)]))
 
 
