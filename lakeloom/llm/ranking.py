@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from lakeloom.plans.runtime import col, cut
 
 #: Bytes of a side table, by its rows' estimated width, that may be broadcast.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def bounded(df: DataFrame, row_bytes: int = 64) -> DataFrame:
