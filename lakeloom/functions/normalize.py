@@ -5,6 +5,8 @@ Patterns carry (?U) so that classes are Unicode-aware, and (?d) so that ``$`` st
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def _sub(c: Column, pattern: str, to: str = " ") -> Column:
     return F.regexp_replace(c, FLAGS + pattern, to)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def stripped(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return _sub(c, r"^\s+|\s+\z", "")
@@ -41,17 +48,30 @@ def collapsed(c: Column) -> Column:
     return F.trim(_sub(c, r"\s+"))
 
 
-def clean_name(name: Column) -> Column:
-    """The comparable form of a file name: no extension, copy number, site, address or long id; '' for null."""
-    bare = _sub(name, EXTENSION, "")
-    uncopied = _sub(F.lower(bare), COPY_NUMBER)
-    out = _sub(_sub(_sub(uncopied, NUMBER_PREFIX), BRACKETED_SITE), ADDRESS)
-    out = stripped(_sub(_sub(out, SITE_PREFIX), SITE_SUFFIX))
-    out = _sub(F.translate(out, "_-", "  "), DOMAIN)
-    out = stripped(_sub(collapsed(out), LONG_ID, ""))
-    left = stripped(bare)
-    fallback = F.when(left != "", left).otherwise(name)
-    cleaned = F.when(stripped(uncopied).rlike(FLAGS + PURE_ID), stripped(F.translate(uncopied, "_-", "  "))).when(out != "", out).otherwise(fallback)
+def clean_name(name: Column, staged: bool = False) -> Column:
+    """The comparable form of a file name: no extension, copy number, site, address or long id; '' for null.
+
+    ``staged`` computes every step once and runs a pattern only where there is a sign of it; for columns that are stored, as
+    Spark cannot take such a column apart again to feed a Python function.
+    """
+    hold = once if staged else lambda value, body: body(value)
+
+    def where(c: Column, test: Callable[[Column], Column], pattern: str, to: str = " ") -> Column:
+        return once(c, lambda x: F.when(test(x), _sub(x, pattern, to)).otherwise(x)) if staged else _sub(c, pattern, to)
+
+    def without_sites(uncopied: Column) -> Column:
+        out = where(_sub(uncopied, NUMBER_PREFIX), lambda x: x.rlike(r"[\[(]") & x.contains("."), BRACKETED_SITE)
+        out = where(out, lambda x: x.contains("www") | x.contains("://"), ADDRESS)
+        out = stripped(_sub(_sub(out, SITE_PREFIX), SITE_SUFFIX))
+        out = where(F.translate(out, "_-", "  "), lambda x: x.contains("."), DOMAIN)
+        return stripped(where(collapsed(out), lambda x: x.rlike(r"(?:\d|[^\x00-\x7F])\z"), LONG_ID, ""))
+
+    def chosen(bare: Column, uncopied: Column, out: Column) -> Column:
+        left = stripped(bare)
+        fallback = F.when(left != "", left).otherwise(name)
+        return F.when(stripped(uncopied).rlike(FLAGS + PURE_ID), stripped(F.translate(uncopied, "_-", "  "))).when(out != "", out).otherwise(fallback)
+
+    cleaned = hold(_sub(name, EXTENSION, ""), lambda bare: hold(_sub(F.lower(bare), COPY_NUMBER), lambda uncopied: hold(without_sites(uncopied), lambda out: chosen(bare, uncopied, out))))
     return F.when(F.coalesce(name, F.lit("")) == "", F.lit("")).otherwise(cleaned)
 
 
@@ -70,9 +90,9 @@ def _tags(performer: Column, title: Column) -> Column:
     return F.concat_ws(" ", real(performer), real(title))
 
 
-def clean_tags(performer: Column, title: Column) -> Column:
+def clean_tags(performer: Column, title: Column, staged: bool = False) -> Column:
     """performer and title, without placeholders, cleaned like a name."""
-    return clean_name(_tags(performer, title))
+    return clean_name(_tags(performer, title), staged)
 
 
 def clean_tags_for_search(performer: Column, title: Column) -> Column:

@@ -1,12 +1,14 @@
 """Similarity of words and texts, 0 to 100, as Arrow-batched functions over the longest common subsequence.
 
-Texts are compared once per distinct pair of a batch.
+Texts are compared once per distinct pair of a batch, words are cut once per distinct text, and common subsequences are found for many
+pairs at once: one step over the characters of the second texts moves the bit rows of all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,75 @@ def common_length(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
+#: Pairs, and bytes of their bit tables, that are compared in one go.
+PAIRS, TABLE_BYTES, LETTERS = 4096, 16 << 20, 64
+#: Longer texts, in machine words of positions, and fewer pairs are compared one by one: their rows are wide enough by themselves.
+WORDS, FEW = 4, 64
+
+
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """common_length of every pair of two lists."""
+    out = np.zeros(len(a), np.int64)
+    both = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
+    lengths = np.array([[len(x), len(y)] for x, y in both]).reshape(-1, 2)
+    words = (lengths[:, 0] + 63) // 64
+    # Pairs of as many words go together, by the length of the longer text, so that those that are through drop out in front.
+    order = np.lexsort((lengths[:, 1], words))
+    order = order[words[order] > 0]
+    at = 0
+    while at < len(order):
+        w = int(words[order[at]])
+        upto = min(at + max(1, min(PAIRS, TABLE_BYTES // (8 * w * LETTERS))), int(np.searchsorted(words[order], w, side="right")))
+        here = order[at:upto]
+        if w > WORDS or len(here) < FEW:
+            out[here] = [common_length(*both[i]) for i in here]
+        else:
+            out[here] = _common([both[i][0] for i in here], [both[i][1] for i in here], lengths[here, 0], lengths[here, 1], w)
+        at = upto
+    return out
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _common(a: list[str], b: list[str], a_lengths: np.ndarray, b_lengths: np.ndarray, words: int) -> np.ndarray:
+    n, left = len(a), _codes(a)
+    letters, left = np.unique(left, return_inverse=True)
+    right = _codes(b)
+    place = np.minimum(np.searchsorted(letters, right), len(letters) - 1)
+    right = np.where(letters[place] == right, place, len(letters))
+    # Bits of where each letter stands, by pair and letter; the last letter is every other one.
+    row = np.repeat(np.arange(n), a_lengths)
+    position = np.arange(len(left)) - np.repeat(np.cumsum(a_lengths) - a_lengths, a_lengths)
+    where = np.zeros((words, n * (len(letters) + 1)), np.uint64)
+    np.bitwise_or.at(where, (position // 64, row * (len(letters) + 1) + left), np.uint64(1) << (position % 64).astype(np.uint64))
+    first = np.cumsum(b_lengths) - b_lengths
+    base = np.arange(n) * (len(letters) + 1)
+    state = np.full((words, n), ~np.uint64(0))
+    for i in range(int(b_lengths[-1])):
+        done = int(np.searchsorted(b_lengths, i, side="right"))
+        at = base[done:] + right[first[done:] + i]
+        carry = None
+        for w in range(words):
+            row_state = state[w, done:]
+            hit = row_state & where[w, at]
+            grown = row_state + hit
+            if words > 1:
+                over = grown < hit
+                if carry is not None:
+                    grown += carry
+                    over |= grown < carry
+                carry = over.astype(np.uint64)
+            np.bitwise_or(grown, row_state ^ hit, out=row_state)
+    free = np.zeros(n, np.int64)
+    for w in range(words):
+        used = np.clip(a_lengths - 64 * w, 0, 64)
+        mask = np.where(used == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(used, 63).astype(np.uint64)) - np.uint64(1))
+        free += np.bitwise_count(state[w] & mask)
+    return a_lengths - free
+
+
 def indel(a: str, b: str) -> float:
     """Twice the common length over both lengths; two empty texts are equal."""
     total = len(a) + len(b)
@@ -83,26 +154,108 @@ def weighted(a: str, b: str) -> float:
     return max(best, scale * partial(a, b), 0.95 * scale * words)
 
 
-def _batched(score: Callable[[str, str], float]) -> Callable[[pd.Series, pd.Series], pd.Series]:
+def letters_in_common(a: list[str], b: list[str]) -> np.ndarray:
+    """How many letters two texts share in any order: no common subsequence is longer."""
+    out = np.zeros(len(a), np.int64)
+    for at in range(0, len(a), PAIRS):
+        x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+        letters, codes = np.unique(np.concatenate((_codes(x), _codes(y))), return_inverse=True)
+        row = np.repeat(np.arange(2 * len(x)), [len(t) for t in (*x, *y)])
+        counts = np.bincount(row * max(len(letters), 1) + codes, minlength=2 * len(x) * max(len(letters), 1)).reshape(2 * len(x), -1)
+        out[at : at + PAIRS] = np.minimum(counts[: len(x)], counts[len(x) :]).sum(axis=1)
+    return out
+
+
+def _common_from(a: list[str], b: list[str], least: np.ndarray | None) -> np.ndarray:
+    """common_lengths, and -1 for pairs that cannot reach ``least``."""
+    if least is None:
+        return common_lengths(a, b)
+    out = np.full(len(a), -1, np.int64)
+    hopeful = np.flatnonzero(letters_in_common(a, b) >= least - 1e-6)
+    out[hopeful] = common_lengths([a[i] for i in hopeful], [b[i] for i in hopeful])
+    return out
+
+
+def indels(a: list[str], b: list[str], least: np.ndarray | None = None) -> np.ndarray:
+    """indel of every pair; not a number where it cannot reach ``least``."""
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)])
+    common = _common_from(a, b, None if least is None else least * total / 200)
+    return np.where(total == 0, 100.0, np.where(common < 0, np.nan, 200.0 * common / np.maximum(total, 1)))
+
+
+def token_sorts(a: list[str], b: list[str], least: np.ndarray | None = None) -> np.ndarray:
+    """token_sort of every pair; not a number where it cannot reach ``least``."""
+    words = {t: " ".join(sorted(t.split())) for t in {*a, *b}}
+    x, y = [words[t] for t in a], [words[t] for t in b]
+    empty = np.array([not p or not q for p, q in zip(x, y, strict=True)], bool)
+    return np.where(empty, 0.0, indels(x, y, least))
+
+
+def token_sets(a: list[str], b: list[str], least: np.ndarray | None = None) -> np.ndarray:
+    """token_set of every pair; not a number where it cannot reach ``least``."""
+    words = {t: frozenset(t.split()) for t in {*a, *b}}
+    out, at, xs, ys, shared_length = np.zeros(len(a)), [], [], [], []
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        left, right = words[p], words[q]
+        if not left or not right:
+            continue
+        shared = left & right
+        if shared and (len(shared) == len(left) or len(shared) == len(right)):
+            out[i] = 100.0
+            continue
+        at.append(i)
+        xs.append(" ".join(sorted(left - shared)))
+        ys.append(" ".join(sorted(right - shared)))
+        shared_length.append(sum(map(len, shared)) + max(0, len(shared) - 1))
+    if at:
+        x, y, s = np.array([len(t) for t in xs]), np.array([len(t) for t in ys]), np.array(shared_length)
+        with_x, with_y = s + (s > 0) + x, s + (s > 0) + y
+        need = None if least is None else (x + y - (1 - least[at] / 100) * (with_x + with_y)) / 2
+        common = _common_from(xs, ys, need)
+        apart = np.where(common < 0, np.nan, 100.0 * (1 - (x + y - 2 * common) / (with_x + with_y)))
+        shared_first = np.where(s > 0, np.maximum(100.0 * (1 - (1 + x) / np.maximum(s + with_x, 1)), 100.0 * (1 - (1 + y) / np.maximum(s + with_y, 1))), np.nan)
+        best = np.fmax(apart, shared_first)
+        out[at] = best if least is None else np.where(best >= least[at] - 1e-6, best, np.nan)
+    return out
+
+
+def weighteds(a: list[str], b: list[str], least: np.ndarray | None = None) -> np.ndarray:
+    """weighted of every pair."""
+    return np.array([weighted(x, y) for x, y in zip(a, b, strict=True)], float)
+
+
+def _scored(score: Callable[..., np.ndarray], a: pd.Series, b: pd.Series, least: pd.Series | None = None) -> pd.Series:
+    """Scores of pairs, each distinct one computed once; null for null texts and for pairs that cannot reach the least score asked."""
+    pairs = list(zip(a, b, strict=True))
+    asked: dict[tuple[str, str], float] = {}
+    for p, x in zip(pairs, [0.0] * len(pairs) if least is None else least.fillna(0.0), strict=True):
+        if p[0] is not None and p[1] is not None:
+            asked[p] = min(asked.get(p, x), x)
+    known = dict(zip(asked, score([x for x, _ in asked], [y for _, y in asked], None if least is None else np.array(list(asked.values()))).tolist(), strict=True)) if asked else {}
+    # pandas reads not-a-number as null here, as it does None.
+    return pd.Series([known.get(p) for p in pairs], dtype="float64")
+
+
+def _batched(score: Callable[..., np.ndarray]) -> Callable[[pd.Series, pd.Series], pd.Series]:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for x, y in zip(a, b, strict=True):
-            if x is None or y is None:
-                out.append(None)
-                continue
-            if (x, y) not in known:
-                known[x, y] = score(x, y)
-            out.append(known[x, y])
-        return pd.Series(out, dtype="float64")
+        return _scored(score, a, b)
+
+    return F.pandas_udf(run, T.DoubleType())
+
+
+def _batched_from(score: Callable[..., np.ndarray]) -> Callable[[pd.Series, pd.Series, pd.Series], pd.Series]:
+    def run(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+        return _scored(score, a, b, least)
 
     return F.pandas_udf(run, T.DoubleType())
 
 
-indel_ratio = _batched(indel)
-token_sort_ratio = _batched(token_sort)
-token_set_ratio = _batched(token_set)
-weighted_ratio = _batched(weighted)
+indel_ratio = _batched(indels)
+token_sort_ratio = _batched(token_sorts)
+token_set_ratio = _batched(token_sets)
+weighted_ratio = _batched(weighteds)
 
 #: The text similarity of each matching mode.
 SCORERS = {"set": token_set_ratio, "sort": token_sort_ratio}
+#: The same, null where the third column, the least ratio that matters, cannot be reached.
+SCORERS_FROM = {"set": _batched_from(token_sets), "sort": _batched_from(token_sorts)}

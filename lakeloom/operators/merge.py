@@ -21,9 +21,16 @@ def insert_or_ignore(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return stored.unionByName(new)
 
 
-def upsert(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """stored with all fields of batch's rows, nulls included, in place of rows with their keys."""
-    return stored.join(batch.select(*KEY), KEY, "left_anti").unionByName(batch)
+def last_of_each(batch: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row per key: the last by ``order`` (nulls first), then by the other columns, so that reruns agree."""
+    named = list(order or [])
+    by = [F.col(c).desc_nulls_last() for c in [*named, *[c for c in batch.columns if c not in KEY and c not in named]]]
+    return batch.withColumn("_n", F.row_number().over(W.partitionBy(*KEY).orderBy(*by))).where("_n = 1").drop("_n")
+
+
+def upsert(stored: DataFrame, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """stored with all fields of batch's rows, nulls included, in place of rows with their keys; of equal keys in batch the last by ``order``."""
+    return stored.join(batch.select(*KEY), KEY, "left_anti").unionByName(last_of_each(batch, order))
 
 
 def delete_by_key(stored: DataFrame, keys: DataFrame) -> DataFrame:
@@ -31,8 +38,9 @@ def delete_by_key(stored: DataFrame, keys: DataFrame) -> DataFrame:
     return stored.join(keys.select(*KEY), KEY, "left_anti")
 
 
-def update_by_key(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """stored with the payload of fresh rows where there is one; fresh rows with unknown keys are ignored."""
+def update_by_key(stored: DataFrame, fresh: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """stored with the payload of fresh rows where there is one, of equal keys the last by ``order``; fresh rows with unknown keys are ignored."""
+    fresh = last_of_each(fresh, order)
     fields = [c for c in PAYLOAD if c in stored.columns and c in fresh.columns]
     new = fresh.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.struct(*fields).alias("_new"))
     joined = stored.join(new, (F.col("scope") == F.col("_scope")) & (F.col("item_id") == F.col("_item_id")), "left")

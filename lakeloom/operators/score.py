@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.config import FuzzyConfig
 from lakeloom.functions import normalize as N
-from lakeloom.functions.similarity import SCORERS
+from lakeloom.functions.similarity import SCORERS, SCORERS_FROM
 from lakeloom.operators.pairs import band_self_join
 from lakeloom.plans.runtime import cut
 
@@ -17,7 +17,7 @@ SOURCES = (("name", "name"), ("name", "tags"), ("tags", "name"), ("tags", "tags"
 
 def prepared(items: DataFrame, cfg: FuzzyConfig) -> DataFrame:
     """Items with comparable texts and their numbers, computed once before any join."""
-    cleaned = items.withColumn("_n", N.clean_name(F.col("name"))).withColumn("_t", N.clean_tags(F.col("performer"), F.col("title")) if cfg.use_meta_fuzzy else F.lit(""))
+    cleaned = items.withColumn("_n", N.clean_name(F.col("name"), staged=True)).withColumn("_t", N.clean_tags(F.col("performer"), F.col("title"), staged=True) if cfg.use_meta_fuzzy else F.lit(""))
     return cleaned.select(
         "scope", "item_id", "content_id", F.coalesce("duration", F.lit(0)).alias("duration"), F.coalesce("size", F.lit(0)).alias("size"),
         N.comparable(F.col("_n")).alias("name_text"), N.comparable(F.col("_t")).alias("tags_text"), N.number_tokens(F.col("_n")).alias("name_numbers"), N.number_tokens(F.col("_t")).alias("tags_numbers"),
@@ -50,24 +50,35 @@ def numeric_scores(pairs: DataFrame, cfg: FuzzyConfig) -> DataFrame:
     return pairs.select("x", "y", closeness(x["duration"], y["duration"], cfg.duration_power).alias("duration_score"), closeness(x["size"], y["size"], cfg.size_power).alias("size_score"), threshold(x, y, cfg).alias("threshold"))
 
 
-def best_text(pairs: DataFrame, cfg: FuzzyConfig) -> DataFrame:
-    """Pairs with ``text``: the source that does best after its penalty (score, source, ratio, penalty)."""
-    ratio = SCORERS[cfg.matching_mode]
+def best_text(pairs: DataFrame, cfg: FuzzyConfig, others: Column | None = None) -> DataFrame:
+    """Pairs with ``text``: the source that does best after its penalty (score, source, ratio, penalty).
+
+    With ``others``, the score of all but the text, sources that cannot lift a pair to its threshold are left out, most of them
+    without comparing their texts: letters in any order bound what they have in common.
+    """
     x, y = F.col("x"), F.col("y")
-    with_ratios = pairs.select("*", *[ratio(x[f"{i}_text"], y[f"{j}_text"]).alias(f"_r{k}") for k, (i, j) in enumerate(SOURCES)])
+    penalties = [number_penalty(x[f"{i}_numbers"], y[f"{j}_numbers"], cfg.penalty_numbers_mismatch, cfg.use_jaccard_penalty) for i, j in SOURCES]
+    staged = pairs.select("*", F.array(*penalties).alias("_p"))
 
-    def of(k: int) -> Column:
+    def ratio(k: int) -> Column:
         i, j = SOURCES[k]
+        a, b = x[f"{i}_text"], y[f"{j}_text"]
+        # Texts that are not there need no comparison.
+        a, b = (F.when(t != "", t) if kind == "tags" else t for t, kind in ((a, i), (b, j)))
+        if others is None or cfg.weight_name <= 0:
+            return SCORERS[cfg.matching_mode](a, b)
+        share = F.greatest((F.col("threshold") - others + F.col("_p")[k]) / cfg.weight_name, F.lit(0.0))
+        return SCORERS_FROM[cfg.matching_mode](a, b, F.pow(share, F.lit(1 / cfg.name_power)) * 100 if cfg.name_power > 0 else F.lit(0.0))
+
+    with_ratios = staged.select("*", *[ratio(k).alias(f"_r{k}") for k in range(len(SOURCES))])
+
+    def of(k: int) -> Column:
         powered = F.pow(F.col(f"_r{k}") / 100, F.lit(float(cfg.name_power)))
-        penalty = number_penalty(x[f"{i}_numbers"], y[f"{j}_numbers"], cfg.penalty_numbers_mismatch, cfg.use_jaccard_penalty)
-        compared = F.struct((cfg.weight_name * powered - penalty).alias("score"), F.lit(-k).alias("order"), powered.alias("ratio"), penalty.alias("penalty"))
-        real = F.lit(True)
-        for side, kind in ((x, i), (y, j)):
-            real = real & (side["tags_text"] != "") if kind == "tags" else real
-        return F.when(real, compared)
+        compared = F.struct((cfg.weight_name * powered - F.col("_p")[k]).alias("score"), F.lit(-k).alias("order"), powered.alias("ratio"), F.col("_p")[k].alias("penalty"))
+        return F.when(F.col(f"_r{k}").isNotNull(), compared)
 
     ranked = with_ratios.withColumn("text", F.array_max(F.array(*[of(k) for k in range(len(SOURCES))])))
-    return ranked.drop(*[f"_r{k}" for k in range(len(SOURCES))])
+    return ranked.drop("_p", *[f"_r{k}" for k in range(len(SOURCES))])
 
 
 def fuzzy_links(items: DataFrame, cfg: FuzzyConfig) -> DataFrame:
@@ -80,7 +91,7 @@ def fuzzy_links(items: DataFrame, cfg: FuzzyConfig) -> DataFrame:
     # A perfect text is the most a pair can add: those that would fall short even then are not compared.
     hopeful = pairs.where(F.lit(cfg.weight_name) + others >= F.col("threshold"))
     score = cfg.weight_name * F.col("text.ratio") + others - F.col("text.penalty")
-    linked = best_text(hopeful, cfg).withColumn("score", score).where(F.col("score") >= F.col("threshold"))
+    linked = best_text(hopeful, cfg, others).withColumn("score", score).where(F.col("score") >= F.col("threshold"))
     return linked.select(
         x["scope"].alias("scope"), F.least(x["item_id"], y["item_id"]).alias("a"), F.greatest(x["item_id"], y["item_id"]).alias("b"), F.lit("fuzzy").alias("reason"), "score",
         F.col("text.ratio").alias("name_score"), "duration_score", "size_score", F.col("text.penalty").alias("penalty"), (-F.col("text.order")).cast("int").alias("text_source"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.functions.normalize import clean_name
+from lakeloom.functions.normalize import clean_name, stripped
 
 Cascade = tuple[tuple[str, float], ...]
 
@@ -23,7 +23,7 @@ def _positive(c: str) -> Column:
 
 
 def _real(c: str) -> Column:
-    return F.coalesce(~F.lower(F.trim(c)).isin(*EMPTY_TAGS), F.lit(False))
+    return F.coalesce(~F.lower(stripped(F.col(c))).isin(*EMPTY_TAGS), F.lit(False))
 
 
 def tag_quality() -> Column:

@@ -259,6 +259,12 @@ ORACLE_SQL = {
     "planned_changes": f"{CLASSIFIED} SELECT scope, action, count(*) AS n, min(item_id) AS first_id, max(item_id) AS last_id FROM acts GROUP BY scope, action",
     "insert_or_ignore": f"WITH {EVENTS} SELECT * FROM stored UNION ALL SELECT * FROM batch WHERE (scope, item_id) NOT IN (SELECT scope, item_id FROM stored)",
     "upsert_latest": f"WITH {EVENTS} SELECT * FROM batch UNION ALL SELECT * FROM stored WHERE (scope, item_id) NOT IN (SELECT scope, item_id FROM batch)",
+    "upsert_repeated_keys": f"WITH {EVENTS} SELECT scope, item_id, name, size + 7 AS size FROM batch UNION ALL SELECT * FROM stored WHERE (scope, item_id) NOT IN (SELECT scope, item_id FROM batch)",
+    "update_repeated_keys": f"WITH {EVENTS} SELECT s.scope, s.item_id, s.name, CASE WHEN b.item_id IS NULL THEN s.size ELSE b.size + 7 END AS size FROM stored AS s LEFT JOIN batch AS b USING (scope, item_id)",
+    "forced_refresh": f"WITH {EVENTS} SELECT * FROM batch UNION ALL SELECT * FROM stored WHERE (scope, item_id) NOT IN (SELECT scope, item_id FROM batch)",
+    "archive_gate": f"WITH {DOCS}, n AS (SELECT scope, item_id, (row_number() OVER (PARTITION BY scope ORDER BY item_id) - 1) // 20 AS batch, coalesce(toxic, 0) = 0 AS ok FROM items LEFT JOIN labels ON item_id = doc_id) SELECT scope, item_id, batch FROM n QUALIFY bool_and(ok) OVER (PARTITION BY scope, batch)",
+    "gone_items": f"WITH {DOCS} SELECT scope, item_id FROM items WHERE item_id NOT IN (SELECT doc_id FROM labels WHERE quality <> 0)",
+    "spread_errors": f"WITH {DOCS}, {SNAPSHOT}, n AS (SELECT scope, item_id, status, (row_number() OVER (PARTITION BY scope ORDER BY item_id) - 1) // 25 AS chunk FROM snap) SELECT scope, item_id, CASE WHEN bool_or(status = 'error') OVER (PARTITION BY scope, chunk) THEN 'error' ELSE status END AS status FROM n",
     "delete_by_key": f"WITH {EVENTS} SELECT * FROM stored WHERE (scope, item_id) NOT IN (SELECT scope, item_id FROM batch)",
     "update_by_key": f"WITH {EVENTS} SELECT s.scope, s.item_id, s.name, CASE WHEN b.item_id IS NULL THEN s.size ELSE b.size END AS size FROM stored AS s LEFT JOIN batch AS b USING (scope, item_id)",
     "cursor_high_water": f"WITH {EVENTS} SELECT scope, 1 AS is_fully_synced, max(item_id) AS newest_scanned_id FROM (SELECT scope, item_id FROM stored UNION ALL SELECT scope, item_id FROM batch) GROUP BY scope",

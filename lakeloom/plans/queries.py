@@ -383,6 +383,22 @@ def upsert_latest(spark, sf_dir):
     return merge.upsert(*stored_and_batch(spark, sf_dir)).select("scope", "item_id", "name", "size")
 
 
+def repeated_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored events, and a batch in which every key stands twice."""
+    stored, batch = stored_and_batch(spark, sf_dir)
+    return stored, batch.unionByName(batch.withColumn("size", F.col("size") + 7))
+
+
+@query
+def upsert_repeated_keys(spark, sf_dir):
+    return merge.upsert(*repeated_batch(spark, sf_dir), ["size"]).select("scope", "item_id", "name", "size")
+
+
+@query
+def update_repeated_keys(spark, sf_dir):
+    return merge.update_by_key(*repeated_batch(spark, sf_dir), ["size"]).select("scope", "item_id", "name", "size")
+
+
 @query
 def delete_by_key(spark, sf_dir):
     return merge.delete_by_key(*stored_and_batch(spark, sf_dir)).select("scope", "item_id", "name", "size")
@@ -508,3 +524,33 @@ def stream_incremental_ingest(spark, sf_dir):
     folder = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     ingest.ingest(stream, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return ingest.current(spark, f"{folder}/table").select("scope", "item_id", "name", "size")
+
+
+@query
+def forced_refresh(spark, sf_dir):
+    """The table after a run that adds, and a run from a new checkpoint that replaces."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
+    folder = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    ingest.ingest(source.events_as_items(stream.where("event_type <> 'view'")), f"{folder}/table", f"{folder}/first").awaitTermination()
+    changed = stream.where("event_type <> 'click'").withColumn("value", F.col("value") + 1)
+    ingest.ingest(source.events_as_items(changed), f"{folder}/table", f"{folder}/second", refresh=True).awaitTermination()
+    return ingest.current(spark, f"{folder}/table").select("scope", "item_id", "name", "size")
+
+
+@query
+def archive_gate(spark, sf_dir):
+    batches = classify.batched(docs(spark, sf_dir).select("scope", "item_id"), 20)
+    archived = table(spark, sf_dir, "labels").select("doc_id", "toxic").join(docs(spark, sf_dir).select("scope", "item_id"), F.col("doc_id") == F.col("item_id"), "right")
+    return classify.archive_gate(batches, archived.select("scope", "item_id", (F.coalesce("toxic", F.lit(0)) == 0).alias("ok")))
+
+
+@query
+def gone_items(spark, sf_dir):
+    there = source.label_snapshot(spark, sf_dir).where("status = 'ok'")
+    return classify.confirmed_gone(docs(spark, sf_dir).select("scope", "item_id"), there)
+
+
+@query
+def spread_errors(spark, sf_dir):
+    return classify.spread_errors(source.label_snapshot(spark, sf_dir).select("scope", "item_id", "status"), 25)

@@ -1,21 +1,21 @@
-"""The twelve-row data set with known answers."""
+"""Twelve rows with known answers: a copy by content, one by metadata, one by text, and rows that lack something."""
 
 from lakeloom.schema import ITEMS
 
-MAIN, OTHER = "-1001234567890", "-1009999999999"
+MAIN, OTHER = "main", "other"
 ROWS = [
-    (MAIN, 1, "AAAA", "Artist - Track One.mp3", 10000000, 200, "Artist", "Track One"),
-    (MAIN, 2, "AAAA", "Artist - Track One (1).mp3", 10050000, 200, "Artist", "Track One"),
-    (MAIN, 3, "BBBB", "Meta Dup Song.flac", 5000000, 180, "Meta Dup", "Song"),
-    (MAIN, 4, "CCCC", "Meta Dup Song.flac", 5000000, 180, "Meta Dup", "Song"),
-    (MAIN, 5, "DDDD", "tmpab12cd.mp3", 8000000, 210, "Fuzzy Band", "Fuzzy Song"),
-    (MAIN, 6, "EEEE", "Fuzzy Band - Fuzzy Song.mp3", 8100000, 211, None, None),
-    (MAIN, 7, "FFFF", "Completely Different Track.mp3", 3000000, 95, None, None),
-    (MAIN, 8, "GGGG", None, 2000000, 60, "Only Meta", "Meta Only"),
-    (MAIN, 9, "HHHH", "unknown_track.mp3", 1500000, 45, "<unknown>", None),
-    (MAIN, 10, "IIII", "zero duration.mp3", 900000, 0, None, None),
-    (MAIN, 11, "JJJJ", "Same Name.mp3", 7000000, 190, "X Y", "Same Name.mp3"),
-    (OTHER, 12, "KKKK", "Other Chat Song.mp3", 4000000, 100, None, None),
+    (MAIN, 1, "u1", "Harbour Lights - Low Tide.ogg", 7300000, 154, "Harbour Lights", "Low Tide"),
+    (MAIN, 2, "u1", "Harbour Lights - Low Tide (2).ogg", 7310000, 154, "Harbour Lights", "Low Tide"),
+    (MAIN, 3, "u3", "Quay Four.wav", 4100000, 133, "Quay", "Four"),
+    (MAIN, 4, "u4", "Quay Four.wav", 4100000, 133, "Quay", "Four"),
+    (MAIN, 5, "u5", "tmpx91kd.ogg", 6400000, 222, "Salt Choir", "Evening Ferry"),
+    (MAIN, 6, "u6", "Salt Choir - Evening Ferry.ogg", 6470000, 223, None, None),
+    (MAIN, 7, "u7", "Nothing Like The Rest.ogg", 2100000, 77, None, None),
+    (MAIN, 8, "u8", None, 1700000, 51, "Tags Alone", "Alone Tags"),
+    (MAIN, 9, "u9", "some_file.ogg", 1200000, 33, "<unknown>", None),
+    (MAIN, 10, "u10", "no length.ogg", 800000, 0, None, None),
+    (MAIN, 11, "u11", "Twin Title.ogg", 6900000, 201, "A B", "Twin Title.ogg"),
+    (OTHER, 12, "u12", "Elsewhere.ogg", 3900000, 99, None, None),
 ]
 
 

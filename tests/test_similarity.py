@@ -34,3 +34,18 @@ def test_weighted_anchors():
 
 def test_token_sort():
     assert S.token_sort("b a", "a b") == 100 and S.token_sort("", "") == 0
+
+
+def test_batches_equal_single_pairs():
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choices("abcdéж", k=rng.randint(1, 9))) for _ in range(rng.choice([0, 1, 3, 30])))
+    a, b = [text() for _ in range(400)], [text() for _ in range(400)]
+    a += ["x" * 64, "x" * 65, "ab" * 64, "", "same words", "b a"]
+    b += ["x" * 64, "x" * 130, "ba" * 64, "", "words same too", "a b"]
+    for many, one in ((S.common_lengths, S.common_length), (S.indels, S.indel), (S.token_sorts, S.token_sort), (S.token_sets, S.token_set)):
+        want = [one(x, y) for x, y in zip(a, b)]
+        assert list(many(a, b)) == pytest.approx(want), one
+        if one is not S.common_length:
+            least = S.np.array([rng.choice([0, 40, 60, 90]) for _ in a], float)
+            for got, x, bound in zip(many(a, b, least), want, least):
+                assert got == pytest.approx(x) if x >= bound else S.np.isnan(got) or got == pytest.approx(x)
