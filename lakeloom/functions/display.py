@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: File names that some systems reserve, and the most bytes of a file name: fixed values.
 RESERVED = ["CON", "PRN", "AUX", "NUL", *[f"{p}{i}" for p in ("COM", "LPT") for i in range(1, 10)]]
@@ -62,19 +63,18 @@ def safe_cell(c: Column) -> Column:
     return F.when(text.rlike("^[=+@-]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
-@F.pandas_udf(T.StringType())
-def _fit(names: pd.Series) -> pd.Series:
-    return names.map(_fitted)
+def _front(text: Column, size: Column) -> Column:
+    """As many whole characters of a text as fit into ``size`` bytes: a character has four at most."""
+    raw = text.cast("binary")
+    return F.coalesce(*[F.try_validate_utf8(F.substring(raw, F.lit(1), size - k).cast("string")) for k in range(4)])
 
 
-def _fitted(name: str) -> str:
-    raw = name.encode()
-    if len(raw) <= NAME_BYTES:
-        return name
-    stem, dot, extension = name.rpartition(".")
-    tail = f".{extension}".encode() if dot and len(extension.encode()) <= EXTENSION_BYTES else b""
-    head = (stem if tail else name).encode()[: NAME_BYTES - len(tail)].decode(errors="ignore")
-    return head + tail.decode() or UNNAMED
+def _fitted(name: Column) -> Column:
+    """A long name cut to NAME_BYTES bytes; a short extension stays."""
+    extension = F.regexp_extract(name, r"(?s)\.[^.]*\z", 0)
+    tail = F.when(F.octet_length(extension) <= EXTENSION_BYTES + 1, extension).otherwise("")
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(tail))
+    return F.concat(_front(stem, F.lit(NAME_BYTES) - F.octet_length(tail)), tail)
 
 
 def sanitize_filename(name: Column) -> Column:
@@ -82,7 +82,7 @@ def sanitize_filename(name: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[\x00-\x1F\x7F]", ""), r'[<>:"/\\|?*]', "_")
     clean = F.regexp_replace(clean, r"^[ .]+|[ .]+\z", "")
     clean = F.when(F.upper(F.substring_index(clean, ".", 1)).isin(RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
-    return F.when(clean == "", F.lit(UNNAMED)).when(F.octet_length(clean) > NAME_BYTES, _fit(clean)).otherwise(clean)
+    return F.when(clean == "", F.lit(UNNAMED)).when(F.octet_length(clean) > NAME_BYTES, _fitted(clean)).otherwise(clean)
 
 
 def width_of(text: str | None) -> int:
@@ -90,10 +90,29 @@ def width_of(text: str | None) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text or "")
 
 
-@F.pandas_udf(T.LongType())
-def visual_width(texts: pd.Series) -> pd.Series:
-    """Terminal cells of a text."""
-    return texts.map(width_of).astype("int64")
+def _class_of(member: Callable[[str], bool]) -> str:
+    """The characters of which something holds, as a class of a pattern."""
+    spans: list[list[int]] = []
+    for code in range(sys.maxunicode + 1):
+        if member(chr(code)):
+            if spans and spans[-1][1] == code - 1:
+                spans[-1][1] = code
+            else:
+                spans.append([code, code])
+    return "".join(rf"\x{{{first:X}}}-\x{{{last:X}}}" for first, last in spans)
+
+
+@cache
+def width_classes() -> tuple[str, str]:
+    """Classes of the combining characters, and of the wide ones that do not combine, by this Python's Unicode tables."""
+    return _class_of(lambda c: bool(unicodedata.combining(c))), _class_of(lambda c: unicodedata.east_asian_width(c) in "WF" and not unicodedata.combining(c))
+
+
+def visual_width(text: Column) -> Column:
+    """Terminal cells of a text: two for wide characters, none for combining ones; null has none."""
+    combining, wide = width_classes()
+    seen = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{combining}]+", "")
+    return (F.length(seen) + F.length(F.regexp_replace(seen, f"[^{wide}]+", ""))).cast("long")
 
 
 def padded(c: Column, width: int) -> Column:

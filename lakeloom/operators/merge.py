@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.plans.runtime import col
 from lakeloom.schema import PAYLOAD
 
 KEY = ["scope", "item_id"]
@@ -68,5 +69,12 @@ def newest(names: DataFrame, n: int, name: str = "name", by: list[str] | None =
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Number of rows and an order-free hash of a relation, to tell whether it changed."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).alias("hash"))
+    """Number of rows and an order-free hash of a relation, to tell whether it changed.
+
+    The hash is the sum of the first 60 bits of every row's MD5. Values go in by column name, each with its length, nulls apart, so that
+    no other row gives the same bytes.
+    """
+    values = [col(c).cast("string") for c in sorted(df.columns)]
+    row = F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values])
+    bits = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(bits).alias("hash"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lakeloom.functions import normalize as N
+from collections.abc import Callable
+
+from lakeloom.functions import display, normalize as N
 
 DOCS = """items AS (
   SELECT lang AS scope, doc_id AS item_id, md5(text) AS content_id, nullif(split_part(text, chr(10), 1), '') AS name, strlen(text)::BIGINT AS size, n_chars AS duration,
@@ -73,10 +75,10 @@ def link(scope: str, item: str) -> str:
 
 
 def common(a: str, b: str) -> str:
-    """Length of the longest common subsequence of two short texts, bit-parallel."""
-    mask = f"list_sum(list_transform(range(0, length({a})), lambda j: CASE WHEN substr({a}, (j + 1)::INT, 1) = substr({b}, i::INT, 1) THEN (1::BIGINT << j::INT) ELSE 0 END))::BIGINT"
+    """Length of the longest common subsequence of a text of up to 62 letters with another, bit-parallel."""
+    mask = f"list_sum(list_transform(range(0, length({a})), lambda j: CASE WHEN substr({a}, (j + 1)::INT, 1) = c THEN (1::BIGINT << j::INT) ELSE 0 END))::BIGINT"
     full = f"((1::BIGINT << length({a})::INT) - 1)"
-    steps = f"list_prepend({full}, list_transform(range(1, length({b}) + 1), lambda i: {mask}))"
+    steps = f"list_prepend({full}, list_transform(string_split({b}, ''), lambda c: {mask}))"
     return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - bit_count(list_reduce({steps}, lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full})) END"
 
 
@@ -84,6 +86,10 @@ def words(e: str) -> str:
     return f"list_filter(string_split({e}, ' '), lambda w: w <> '')"
 
 
+def in_order(e: str) -> str:
+    return f"array_to_string(list_sort({words(e)}), ' ')"
+
+
 def indel(a: str, b: str) -> str:
     return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * ({common(a, b)}) / (length({a}) + length({b})) END"
 
@@ -94,7 +100,7 @@ def set_ratio_ctes(source: str) -> str:
     return f"""rp AS (SELECT DISTINCT a, b FROM {source}), rw AS (
   SELECT a, b, {gone('a', 'b')} AS x, {gone('b', 'a')} AS y, array_to_string(list_sort(list_distinct(list_filter({words('a')}, lambda v: list_contains({words('b')}, v)))), ' ') AS z FROM rp
 ), rl AS (
-  SELECT a, b, x, y, length(z) AS s, length(x) + length(y) - 2 * ({common('x', 'y')}) AS away, length(z) + (length(z) > 0)::INT + length(x) AS wx, length(z) + (length(z) > 0)::INT + length(y) AS wy FROM rw
+  SELECT a, b, x, y, length(z) AS s, length(x) + length(y) - 2 * ({common('y', 'x')}) AS away, length(z) + (length(z) > 0)::INT + length(x) AS wx, length(z) + (length(z) > 0)::INT + length(y) AS wy FROM rw
 ), ratio AS (
   SELECT a, b, CASE WHEN trim(a) = '' OR trim(b) = '' THEN 0.0::DOUBLE WHEN s > 0 AND (x = '' OR y = '') THEN 100.0::DOUBLE
     WHEN s = 0 THEN 100 * (1 - away::DOUBLE / (wx + wy))
@@ -102,6 +108,24 @@ def set_ratio_ctes(source: str) -> str:
 )"""
 
 
+def weighted_ctes(source: str) -> str:
+    """CTE ``weighted(a, b, r)`` over the distinct pairs (a, b) of a CTE."""
+    meet = f"len(list_filter({words('a')}, lambda v: list_contains({words('b')}, v))) > 0"
+    return f"""{set_ratio_ctes(source)}, pairs AS (
+  SELECT a, b, r, {in_order('a')} AS p, {in_order('b')} AS q, greatest(length(a), length(b))::DOUBLE / least(length(a), length(b)) AS unlike, {meet} AS meet FROM ratio WHERE a <> '' AND b <> ''
+), sides AS (
+  SELECT u, v, CASE WHEN length(u) <= length(v) THEN u ELSE v END AS short, CASE WHEN length(u) <= length(v) THEN v ELSE u END AS long
+  FROM (SELECT a AS u, b AS v FROM pairs WHERE unlike >= 1.5 UNION SELECT p, q FROM pairs WHERE unlike >= 1.5 AND NOT meet)
+), stretches AS (
+  SELECT u, v, short, substr(long, greatest(i, 0) + 1, i + length(short) - greatest(i, 0)) AS stretch FROM (SELECT *, unnest(range(1 - length(short), length(long))) AS i FROM sides)
+), partial AS (SELECT u, v, max({indel('short', 'stretch')}) AS r FROM stretches GROUP BY u, v), weighted AS (
+  SELECT a, b, 0.0::DOUBLE AS r FROM ratio WHERE a = '' OR b = '' UNION ALL
+  SELECT a, b, greatest({indel('a', 'b')}, 0.95::DOUBLE * ({indel('p', 'q')}), 0.95::DOUBLE * r) FROM pairs WHERE unlike < 1.5 UNION ALL
+  SELECT a, b, greatest({indel('b', 'a')}, scale * whole.r, 0.95::DOUBLE * scale * CASE WHEN meet THEN 100 ELSE sorted.r END)
+  FROM (SELECT *, CASE WHEN unlike <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS scale FROM pairs WHERE unlike >= 1.5) AS far JOIN partial AS whole ON a = whole.u AND b = whole.v LEFT JOIN partial AS sorted ON p = sorted.u AND q = sorted.v
+)"""
+
+
 READY = f"""ready AS (
   SELECT scope, item_id, content_id, coalesce(duration, 0) AS duration, coalesce(size, 0) AS size, {comparable('n')} AS name_text, {comparable('t')} AS tags_text, {numbers('n')} AS name_numbers, {numbers('t')} AS tags_numbers
   FROM (SELECT *, {clean('name')} AS n, {clean(tags())} AS t FROM items)
@@ -194,8 +218,13 @@ EVENTS = """ev AS (
 CURSORS = "cur AS (SELECT c_custkey::VARCHAR AS scope, 1 AS is_fully_synced, floor(c_acctbal)::BIGINT AS newest_scanned_id FROM customer)"
 BROKEN = "coalesce(content_id, '') = '' OR (name IS NULL AND performer IS NULL AND title IS NULL) OR size IS NULL OR size < 0 OR duration IS NULL OR duration < 0"
 DAMAGED = f"{DOCS}, hurt AS (SELECT * REPLACE (CASE WHEN length(title) > 100 THEN -1 ELSE duration END AS duration) FROM items), {SNAPSHOT}, plan AS (SELECT h.scope, h.item_id, CASE WHEN coalesce(s.status, 'missing') = 'error' THEN 'leave' WHEN s.status = 'ok' THEN 'update' ELSE 'delete' END AS step, s.duration AS fresh_duration, s.title AS fresh_title FROM hurt AS h LEFT JOIN snap AS s USING (scope, item_id) WHERE {BROKEN.replace('content_id', 'h.content_id').replace('name IS', 'h.name IS').replace('performer', 'h.performer').replace('title', 'h.title').replace('size', 'h.size').replace('duration', 'h.duration')})"
-VARIANTS = f"texts AS (SELECT scope, item_id, unnest(list_distinct([{', '.join(comparable(t) for t in (searchable('name'), clean('name'), searchable(tags()), clean(tags())))}])) AS a, 'small gizmo' AS b FROM items)"
-FOUND = f"WITH {PARTS}, {VARIANTS}, {set_ratio_ctes('texts')}, hits AS (SELECT scope, item_id, round(max(r), 6) AS score FROM texts JOIN ratio USING (a, b) WHERE a <> '' GROUP BY scope, item_id HAVING max(r) >= 50)"
+def found(items: str, asked: str, ctes: Callable[[str], str], ratios: str) -> str:
+    """CTE ``hits``: items whose best text reaches the cutoff."""
+    variants = ", ".join(comparable(t) for t in (searchable("name"), clean("name"), searchable(tags()), clean(tags())))
+    return f"WITH {items}, texts AS (SELECT scope, item_id, unnest(list_distinct([{variants}])) AS a, '{asked}' AS b FROM items), {ctes('texts')}, hits AS (SELECT scope, item_id, round(max(r), 6) AS score FROM texts JOIN {ratios} USING (a, b) WHERE a <> '' GROUP BY scope, item_id HAVING max(r) >= 50)"
+
+
+FOUND = found(PARTS, "small gizmo", set_ratio_ctes, "ratio")
 PLAN = """named AS (
   SELECT *, name AS base FROM items
 ), target AS (
@@ -203,12 +232,40 @@ PLAN = """named AS (
 ), files AS (SELECT name, max(size) AS size FROM items WHERE duration > 25 GROUP BY name), plan AS (
   SELECT t.scope, t.item_id, t.file_name, coalesce(t.size, 0) AS size, coalesce(f.size > 0 AND abs(f.size - coalesce(t.size, 0)) < 100, false) AS done FROM target AS t LEFT JOIN files AS f ON t.file_name = f.name
 )"""
-TEXTS = "ta AS (SELECT DISTINCT name_text AS a FROM ready), tb AS (SELECT DISTINCT tags_text AS b FROM ready), tp AS (SELECT a, b FROM ta, tb WHERE a > b)"
+TEXTS = f"tp AS ({' UNION '.join(f'SELECT x.{i}_text AS a, y.{j}_text AS b FROM band' for i in ('name', 'tags') for j in ('name', 'tags'))})"
 SORTED = "CASE WHEN trim(a) = '' OR trim(b) = '' THEN 0.0::DOUBLE ELSE {} END"
-in_order = lambda e: f"array_to_string(list_sort({words(e)}), ' ')"
 REAL = lambda c: f"coalesce(lower(trim({c})) NOT IN ('', '<unknown>', '[unknown]', 'unknown', 'unknown artist'), false)"
 QUALITY = f"({REAL('performer')})::INT + ({REAL('title')} AND {clean('title')} <> {clean('name')})::INT"
 
+
+def width(e: str) -> str:
+    """Terminal cells of an SQL expression."""
+    combining, wide = display.width_classes()
+    return f"coalesce(length(regexp_replace({e}, '[{combining}]', '', 'g')) + length(regexp_replace({e}, '[^{wide}]', '', 'g')), 0)"
+
+
+def file_name(e: str) -> str:
+    """sanitize_filename of an SQL expression."""
+    bare = rf"regexp_replace(regexp_replace(regexp_replace(coalesce({e}, ''), '[\x00-\x1F\x7F]', '', 'g'), '[<>:\"/\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g')"
+    legal = f"(SELECT CASE WHEN upper(split_part(f, '.', 1)) IN ({', '.join(f"'{r}'" for r in display.RESERVED)}) THEN '_' || f ELSE f END AS f FROM (SELECT {bare} AS f))"
+    parts = rf"(SELECT f, CASE WHEN strlen(regexp_extract(f, '\.[^.]*$')) <= {display.EXTENSION_BYTES + 1} THEN regexp_extract(f, '\.[^.]*$') ELSE '' END AS tail FROM {legal})"
+    fits = f"list_max(list_filter(range(0, {display.NAME_BYTES + 1}), lambda k: strlen(substr(f, 1, k)) <= {display.NAME_BYTES} - strlen(tail)))"
+    return f"(SELECT CASE WHEN f = '' THEN '{display.UNNAMED}' WHEN strlen(f) <= {display.NAME_BYTES} THEN f ELSE substr(f, 1, {fits}) || tail END FROM {parts})"
+
+
+#: CTE ``turns``: the winner of each group by size within a tenth, duration within a twentieth and id, then that of the rest, and so on.
+TURNS = """rests AS (
+  SELECT scope, group_id, list({'id': item_id, 's': CASE WHEN size > 0 THEN size::DOUBLE END, 'd': CASE WHEN duration > 0 THEN duration::DOUBLE END}) AS rest FROM members GROUP BY scope, group_id
+), turns AS (
+  SELECT scope, group_id, -1 AS place, NULL::BIGINT AS id, rest FROM rests UNION ALL
+  SELECT scope, group_id, place + 1, win, list_filter(rest, lambda m: m.id <> win) FROM (
+    SELECT *, list_min(list_transform(CASE WHEN d IS NULL THEN pool ELSE list_filter(pool, lambda m: coalesce(abs(m.d - d) <= d * 0.05::DOUBLE, false)) END, lambda m: m.id)) AS win FROM (
+      SELECT *, list_max(list_transform(pool, lambda m: m.d)) AS d FROM (
+        SELECT *, CASE WHEN s IS NULL THEN rest ELSE list_filter(rest, lambda m: coalesce(abs(m.s - s) <= s * 0.1::DOUBLE, false)) END AS pool FROM (
+          SELECT *, list_max(list_transform(rest, lambda m: m.s)) AS s FROM turns WHERE len(rest) > 0))))
+)"""
+ROW = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("content_id", "duration", "item_id", "name", "performer", "scope", "size", "title"))
+
 ORACLE_SQL = {
     "scan_scope_filter": f"WITH {DOCS} SELECT scope, item_id, name, size, duration FROM items WHERE scope = 'de'",
     "broken_rows_count": f"WITH {PARTS} SELECT scope, count(*) FILTER (WHERE {BROKEN}) AS broken, count(*) AS n FROM items GROUP BY scope",
@@ -224,6 +281,10 @@ ORACLE_SQL = {
     "message_link": f"SELECT o_orderkey, {link("('-100' || o_custkey)", 'o_orderkey')} AS link FROM orders",
     "display_title": f"WITH {PARTS} SELECT item_id, {shown('(CASE WHEN duration > 10 THEN name END)')} AS shown FROM items",
     "safe_cells": f"WITH {DOCS} SELECT " + ", ".join(f"CASE WHEN regexp_matches(coalesce({c}::VARCHAR, ''), '^[=+@-]') THEN '''' ELSE '' END || coalesce({c}::VARCHAR, '') AS {c}" for c in ("item_id", "name", "title", "duration")) + " FROM items",
+    "sanitize_filename": f"WITH {DOCS} SELECT item_id, {file_name('name')} AS file_name FROM items",
+    "visual_width": f"WITH {DOCS} SELECT item_id, {width('name')} AS width FROM items",
+    "display_widths": f"WITH {DOCS} SELECT " + ", ".join(f"max({width(f'{c}::VARCHAR')}) AS {c}" for c in ("item_id", "name", "title")) + " FROM items",
+    "access_rules": "WITH c AS (SELECT c_custkey, list_transform(range(0, 6), lambda k: (c_custkey >> k::INT) % 2 = 1) AS f FROM customer) SELECT c_custkey, f[1] OR (NOT f[2] AND f[3] AND f[4]) OR (f[2] AND (f[4] OR f[5] OR f[6])) AS allowed FROM c",
     "chat_label": "WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS t, concat_ws(' | ', CASE WHEN c_nationkey > 4 THEN '@' || lower(c_name) END, c_custkey::VARCHAR) AS tail FROM customer) SELECT c_custkey, CASE WHEN t IS NULL THEN tail ELSE t || ' [' || tail || ']' END AS label FROM c",
     "resolve_identifiers": "SELECT c_custkey::VARCHAR AS scope, c_custkey AS pos, 1::BIGINT AS times FROM customer WHERE c_nationkey < 15",
     "message_projection": "SELECT user_id::VARCHAR AS scope, event_id AS item_id, props AS content_id, event_type AS name, CASE WHEN event_type = 'click' THEN round(value * 100)::BIGINT ELSE user_id END AS size, 0::BIGINT AS duration, CASE WHEN event_type = 'click' THEN 'p' END AS performer, NULL::VARCHAR AS title FROM events WHERE event_type IN ('click', 'view')",
@@ -241,6 +302,7 @@ ORACLE_SQL = {
     "indel_ratio": f"WITH {PARTS}, {READY}, {TEXTS} SELECT a, b, round({indel('a', 'b')}, 6) AS ratio FROM tp",
     "token_sort_ratio": f"WITH {PARTS}, {READY}, {TEXTS}, so AS (SELECT a, b, {in_order('a')} AS p, {in_order('b')} AS q FROM tp) SELECT a, b, round({SORTED.format(indel('p', 'q'))}, 6) AS ratio FROM so",
     "token_set_ratio": f"WITH {PARTS}, {READY}, {TEXTS}, {set_ratio_ctes('tp')} SELECT a, b, round(r, 6) AS ratio FROM ratio",
+    "weighted_ratio": f"WITH {PARTS}, {READY}, {TEXTS}, {weighted_ctes('tp')} SELECT a, b, round(r, 6) AS ratio FROM weighted",
     "best_text_source": f"WITH {PARTS}, {READY}, {texts(False)} SELECT x.item_id AS first, y.item_id AS second, src AS text_source, round(ratio, 6) AS ratio, round(pen, 6) AS penalty FROM best",
     "fuzzy_edges": edges(0.9, False),
     "fuzzy_edges_loose": edges(0.8, True),
@@ -249,6 +311,8 @@ ORACLE_SQL = {
     "match_rate": f"WITH {PARTS}, {READY}, {links()} SELECT (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM band) AS candidates, round((SELECT count(*) FROM links)::DOUBLE / nullif((SELECT count(*) FROM band), 0), 6) AS rate",
     "survivor_winner": f"WITH RECURSIVE {DOCS}, {EXACT}, {MEMBERS}, v AS (SELECT *, CASE WHEN size > 0 THEN size::DOUBLE END AS v FROM members), b AS (SELECT *, max(v) OVER (PARTITION BY scope, group_id) AS best FROM v), n AS (SELECT *, best IS NULL OR coalesce(abs(v - best) <= abs(best) * 0.02::DOUBLE, false) AS alive FROM b) SELECT scope, group_id, item_id, alive AND item_id = min(CASE WHEN alive THEN item_id END) OVER (PARTITION BY scope, group_id) AS keep FROM n",
     "survivor_order": f"WITH RECURSIVE {DOCS}, {EXACT}, {MEMBERS}, q AS (SELECT *, {QUALITY} AS q, nullif(length({clean('name')}), 0) AS l FROM members) SELECT scope, group_id, item_id, (row_number() OVER (PARTITION BY scope, group_id ORDER BY q DESC, CASE WHEN duration > 0 THEN duration END DESC NULLS LAST, l DESC NULLS LAST, item_id) - 1)::INT AS keep_rank FROM q",
+    "survivor_order_least": f"WITH RECURSIVE {DOCS}, {EXACT}, {MEMBERS} SELECT scope, group_id, item_id, (row_number() OVER (PARTITION BY scope, group_id ORDER BY CASE WHEN size > 0 THEN size END NULLS LAST, CASE WHEN duration > 0 THEN duration END NULLS LAST, item_id DESC) - 1)::INT AS keep_rank FROM members",
+    "survivor_order_tolerant": f"WITH RECURSIVE {PARTS}, {READY}, {links()}, {FUZZY}, {MEMBERS}, {TURNS} SELECT scope, group_id, id AS item_id, place::INT AS keep_rank FROM turns WHERE id IS NOT NULL",
     "best_meta_score": f"WITH {PARTS} SELECT item_id, {QUALITY} AS quality FROM items",
     "verify_status": f"{CHECKED} SELECT scope, status, count(*) AS n FROM checked GROUP BY scope, status",
     "classify_actions": f"{CLASSIFIED} SELECT scope, group_id, item_id, action FROM acts",
@@ -272,12 +336,16 @@ ORACLE_SQL = {
     "repair_plan": f"WITH {DAMAGED} SELECT scope, item_id, step FROM plan",
     "repaired_items": f"WITH {DAMAGED} SELECT h.scope, h.item_id, CASE WHEN step = 'update' THEN fresh_duration ELSE h.duration END AS duration, CASE WHEN step = 'update' THEN fresh_title ELSE h.title END AS title FROM hurt AS h LEFT JOIN plan USING (scope, item_id) WHERE step IS DISTINCT FROM 'delete'",
     "export_filenames": f"WITH {DOCS} SELECT name FROM items WHERE length(name) > 0 ORDER BY name",
+    "export_filenames_with_links": f"WITH {PARTS} SELECT name || repeat(' ', greatest(80 - {width('name')}, 1)) || {link('scope', 'item_id')} AS line FROM items WHERE length(name) > 0",
+    "snapshot_fingerprint": f"WITH {DOCS} SELECT count(*) AS n, sum(('0x' || substr(md5({ROW}), 1, 15))::BIGINT)::VARCHAR AS hash FROM items",
     "export_cleaned_names": f"WITH {PARTS}, c AS (SELECT name, {clean('name')} AS cleaned FROM items WHERE length(name) > 0) SELECT name, cleaned, {comparable('cleaned')} AS comparable FROM c",
     "export_cleaned_meta": f"WITH {PARTS}, c AS (SELECT performer, title, {clean(tags())} AS cleaned FROM items WHERE performer IS NOT NULL OR title IS NOT NULL) SELECT performer, title, cleaned, {comparable('cleaned')} AS comparable FROM c WHERE cleaned <> ''",
     "report_rows": f"WITH RECURSIVE {DOCS}, {EXACT}, {MEMBERS}, r AS (SELECT *, (row_number() OVER (PARTITION BY scope, group_id ORDER BY CASE WHEN size > 0 THEN size END DESC NULLS LAST, item_id) - 1)::INT AS keep_rank FROM members) SELECT scope, group_id, keep_rank, item_id, CASE WHEN keep_rank = 0 THEN 'KEEP' ELSE '' END AS mark, {shown()} AS shown, {size_text('size')} AS bytes, {time_text('duration')} AS length, {link('scope', 'item_id')} AS link FROM r",
     "report_edges": f"WITH RECURSIVE {PARTS}, {READY}, {links()}, {FUZZY} SELECT links.scope, group_id, a, b, round(score, 6) AS score FROM links JOIN groups ON links.scope = groups.scope AND links.a = groups.item_id",
     "search_top_k": f"{FOUND} SELECT scope, item_id, score FROM hits ORDER BY score DESC, scope, item_id LIMIT 50",
     "search_all": f"{FOUND} SELECT scope, item_id, score FROM hits",
+    "search_wratio": f"{found(PARTS, 'small gizmo', weighted_ctes, 'weighted')} SELECT scope, item_id, score FROM hits",
+    "search_listing": f"{found(DOCS, 'theatly there', set_ratio_ctes, 'ratio')} SELECT scope, item_id, score, {shown()} AS shown, {time_text('duration')} AS length, {size_text('size')} AS bytes, {link('scope', 'item_id')} AS link FROM hits JOIN items USING (scope, item_id) ORDER BY score DESC, scope, item_id LIMIT 50",
     "retention_newest_n": "SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_' || lpad(o_orderkey::VARCHAR, 10, '0') AS name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3 AS keep FROM orders",
     "download_plan": f"WITH {PARTS}, {PLAN} SELECT * FROM plan",
     "download_totals": f"WITH {PARTS}, {PLAN} SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (WHERE NOT done) AS files_left, coalesce(sum(size) FILTER (WHERE NOT done), 0)::BIGINT AS bytes_left FROM plan",

@@ -137,6 +137,18 @@ def visual_width(spark, sf_dir):
     return docs(spark, sf_dir).select("item_id", display.visual_width(F.col("name")).alias("width"))
 
 
+@query
+def display_widths(spark, sf_dir):
+    return output.display_widths(docs(spark, sf_dir), ["item_id", "name", "title"])
+
+
+@query
+def access_rules(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    bit = lambda k: F.floor(F.col("c_custkey") / 2**k) % 2 == 1
+    return c.select("c_custkey", output.access(*[bit(k) for k in range(6)]).alias("allowed"))
+
+
 @query
 def chat_label(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
@@ -229,11 +241,10 @@ def number_penalty_jaccard(spark, sf_dir):
 
 
 def ratios(spark: SparkSession, sf_dir: str, ratio) -> DataFrame:
-    """Every two texts of a name and of a name or tags that occur."""
-    ready = score.prepared(parts(spark, sf_dir), CFG)
-    a = ready.select(F.col("name_text").alias("a")).distinct()
-    b = ready.select(F.col("tags_text").alias("b")).distinct()
-    return rounded(a.join(b, F.col("a") > F.col("b")).withColumn("ratio", ratio("a", "b")), "ratio")
+    """The distinct pairs of texts, of all four sources, that items in the duration band are compared by."""
+    four = F.array(*[F.struct(F.col(f"x.{i}_text").alias("a"), F.col(f"y.{j}_text").alias("b")) for i, j in score.SOURCES])
+    asked = scored_pairs(spark, sf_dir).select(F.explode(four).alias("p")).select("p.*").distinct()
+    return rounded(asked.withColumn("ratio", ratio("a", "b")), "ratio")
 
 
 @query
@@ -319,6 +330,11 @@ def survivor_order_tolerant(spark, sf_dir):
     return survivor.keep_order(grouped, (("largest", 0.1), ("longest", 0.05), ("oldest", 0.0))).select("scope", "group_id", "item_id", "keep_rank")
 
 
+@query
+def survivor_order_least(spark, sf_dir):
+    return survivor.keep_order(members(spark, sf_dir), (("smallest", 0.0), ("shortest", 0.0), ("newest", 0.0))).select("scope", "group_id", "item_id", F.col("keep_rank").cast("int").alias("keep_rank"))
+
+
 @query
 def best_meta_score(spark, sf_dir):
     return parts(spark, sf_dir).select("item_id", survivor.tag_quality().alias("quality"))
