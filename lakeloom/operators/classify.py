@@ -51,8 +51,9 @@ def classified(members: DataFrame) -> DataFrame:
 
 def not_ignored(actions: DataFrame, ignored: DataFrame) -> DataFrame:
     """Actions without deletions of ignored items (scope, item_id); scope ``*`` is every scope."""
-    rules = F.broadcast(ignored.select(F.col("scope").alias("_scope"), F.col("item_id").alias("_id")).distinct())
-    hit = (F.col("action") == "delete_remote") & (F.col("item_id") == F.col("_id")) & F.col("_scope").isin("*") | (F.col("action") == "delete_remote") & (F.col("item_id") == F.col("_id")) & (F.col("_scope") == F.col("scope").cast("string"))
+    rules = ignored.select(F.col("scope").cast("string").alias("_scope"), F.col("item_id").alias("_id")).distinct()
+    same_scope = (F.col("_scope") == "*") | (F.col("_scope") == F.col("scope").cast("string"))
+    hit = (F.col("action") == "delete_remote") & (F.col("item_id") == F.col("_id")) & same_scope
     return actions.join(rules, hit, "left_anti")
 
 
