@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.operators.ranking import ranked
 from lakeloom.schema import PAYLOAD
 
 
@@ -74,8 +75,8 @@ def unprotected(actions: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def batched(rows: DataFrame, size: int, into: str = "batch") -> DataFrame:
-    """Rows with a batch number: ``size`` of a scope at a time, by id."""
-    return rows.withColumn(into, F.floor((F.row_number().over(W.partitionBy("scope").orderBy("item_id")) - 1) / size).cast("long"))
+    """Rows with a batch number: ``size`` of a scope at a time, by id. A large scope spreads over many tasks."""
+    return ranked(rows, ["item_id"], "scope", "_rank").withColumn(into, F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
 
 
 def archive_gate(batches: DataFrame, archived: DataFrame) -> DataFrame:

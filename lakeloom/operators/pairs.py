@@ -6,8 +6,10 @@ Pairs never cross a scope; ``a < b`` by item id.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.operators.ranking import ranked
 from lakeloom.schema import PAYLOAD
 
 METADATA = tuple(c for c in PAYLOAD if c != "content_id")
@@ -69,10 +71,12 @@ def band_self_join(rows: DataFrame, width: int, key: str = "duration", scope: st
 
 
 def window_counts(items: DataFrame, width: int) -> DataFrame:
-    """How many candidates of a later place each item has in its band."""
-    from pyspark.sql import Window as W
+    """How many candidates of a later place each item has in its band.
 
+    Items of one duration are ranked over many tasks; the window runs over one row per duration.
+    """
     by = W.partitionBy("scope").orderBy("d").rangeBetween(0, width)
-    before = W.partitionBy("scope", "d").orderBy("item_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = items.select("scope", "item_id", F.coalesce("duration", F.lit(0)).cast("long").alias("d"))
-    return rows.select("scope", "item_id", (F.count(F.lit(1)).over(by) - F.count(F.lit(1)).over(before)).alias("candidates"))
+    in_band = rows.groupBy("scope", "d").agg(F.count(F.lit(1)).alias("n")).select(F.col("scope").alias("_scope"), F.col("d").alias("_d"), F.sum("n").over(by).alias("_near"))
+    placed = ranked(rows, ["item_id"], ["scope", "d"]).join(in_band, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("d") == F.col("_d")))
+    return placed.select("scope", "item_id", (F.col("_near") - F.col("rank") - 1).alias("candidates"))

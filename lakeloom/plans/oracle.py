@@ -225,6 +225,7 @@ def found(items: str, asked: str, ctes: Callable[[str], str], ratios: str) -> st
 
 
 FOUND = found(PARTS, "small gizmo", set_ratio_ctes, "ratio")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 PLAN = """named AS (
   SELECT *, name AS base FROM items
 ), target AS (
@@ -342,6 +343,26 @@ ORACLE_SQL = {
     "export_cleaned_meta": f"WITH {PARTS}, c AS (SELECT performer, title, {clean(tags())} AS cleaned FROM items WHERE performer IS NOT NULL OR title IS NOT NULL) SELECT performer, title, cleaned, {comparable('cleaned')} AS comparable FROM c WHERE cleaned <> ''",
     "report_rows": f"WITH RECURSIVE {DOCS}, {EXACT}, {MEMBERS}, r AS (SELECT *, (row_number() OVER (PARTITION BY scope, group_id ORDER BY CASE WHEN size > 0 THEN size END DESC NULLS LAST, item_id) - 1)::INT AS keep_rank FROM members) SELECT scope, group_id, keep_rank, item_id, CASE WHEN keep_rank = 0 THEN 'KEEP' ELSE '' END AS mark, {shown()} AS shown, {size_text('size')} AS bytes, {time_text('duration')} AS length, {link('scope', 'item_id')} AS link FROM r",
     "report_edges": f"WITH RECURSIVE {PARTS}, {READY}, {links()}, {FUZZY} SELECT links.scope, group_id, a, b, round(score, 6) AS score FROM links JOIN groups ON links.scope = groups.scope AND links.a = groups.item_id",
+    "report_text": f"""WITH RECURSIVE {PARTS}, {READY}, {links()}, {FUZZY}, {MEMBERS}, rkept AS (
+  SELECT *, row_number() OVER (PARTITION BY scope, group_id ORDER BY CASE WHEN size > 0 THEN size END DESC NULLS LAST, item_id) - 1 AS keep_rank FROM members
+), rlines AS (
+  SELECT scope, group_id, keep_rank, [CASE WHEN keep_rank = 0 THEN '* [KEEP] ' ELSE '* ' END || name, '  Tags: ' || coalesce(nullif(concat_ws(' - ', nullif(trim(performer), ''), nullif(trim(title), '')), ''), 'none'),
+    '  Info: ' || concat_ws(' | ', {size_text('coalesce(size, 0)')}, {time_text('duration')}, 'id ' || item_id, 'content ' || content_id), '  Link: ' || {link('scope', 'item_id')}] AS lines FROM rkept
+), redges AS (
+  SELECT scope, a, b, 'same content' AS why, 1.0::DOUBLE AS score FROM ({UID}) UNION ALL
+  SELECT scope, a, b, printf('score %.3f | text %.2f%s | duration %.2f | size %.2f | penalty -%.2f', score, name_score, [' (name-name)', ' (name-tags)', ' (tags-name)', ' (tags-tags)'][text_source + 1], duration_score, size_score, penalty), score FROM links
+), rg AS (SELECT redges.*, group_id, row_number() OVER (PARTITION BY redges.scope, group_id ORDER BY round(score, 9) DESC, a, b) AS place FROM redges JOIN groups ON redges.scope = groups.scope AND redges.a = groups.item_id)
+SELECT scope, group_id, 0 AS part, 0::BIGINT AS place, '--- GROUP ' || group_id || ' (items: ' || count(*) || ') ---' AS line FROM groups GROUP BY scope, group_id
+UNION ALL SELECT scope, group_id, 1, keep_rank * 4 + i, lines[i + 1] FROM rlines, range(4) AS t(i)
+UNION ALL SELECT scope, group_id, 2, 0, '  Links (' || count(*) || '):' FROM rg GROUP BY scope, group_id
+UNION ALL SELECT scope, group_id, 3, place, '    ' || a || ' <-> ' || b || ': ' || why FROM rg""",
+    "backups_kept": f"WITH {DOCS}, c AS (SELECT 'copy' AS kind, 'copy4' AS stamp, scope FROM items WHERE scope <> 'de' UNION ALL SELECT 'copy', 'copy5', scope FROM items UNION ALL SELECT 'archive', 'copy2', scope FROM items WHERE scope = 'en') SELECT kind, stamp, scope, count(*) AS n FROM c GROUP BY kind, stamp, scope",
+    "vacuumed": "SELECT user_id::VARCHAR AS scope, event_id AS item_id, event_type AS name, round(value * 100)::BIGINT AS size FROM events",
+    "catalog_columns": f"SELECT table_name AS \"table\", ordinal_position::INT AS position, column_name AS \"column\" FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{t}'" for t in TABLES)})",
+    "missing_tables": "SELECT t AS \"table\" FROM (VALUES ('cursors'), ('documents'), ('events'), ('ignored'), ('items')) AS v(t) WHERE t NOT IN (SELECT table_name FROM information_schema.tables)",
+    "download_names": """WITH n AS (
+  SELECT user_id::VARCHAR AS scope, event_id AS item_id, CASE event_type WHEN 'click' THEN 'click.ogg' WHEN 'view' THEN 'audio_' || event_id || '.mp3' ELSE event_type || '.' || event_type END AS base FROM events
+) SELECT scope, item_id, CASE WHEN count(*) OVER (PARTITION BY scope, lower(base)) > 1 THEN item_id || '_' || base ELSE base END AS file_name FROM n""",
     "search_top_k": f"{FOUND} SELECT scope, item_id, score FROM hits ORDER BY score DESC, scope, item_id LIMIT 50",
     "search_all": f"{FOUND} SELECT scope, item_id, score FROM hits",
     "search_wratio": f"{found(PARTS, 'small gizmo', weighted_ctes, 'weighted')} SELECT scope, item_id, score FROM hits",

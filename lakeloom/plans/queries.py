@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.config import FuzzyConfig
 from lakeloom.functions import display, normalize as N, similarity as S
-from lakeloom.operators import classify, groups, merge, output, pairs, quality, score, search, survivor
+from lakeloom.operators import classify, groups, merge, output, pairs, quality, score, search, storage, survivor
 from lakeloom.plans.runtime import checkpoint_dir, cut, table
-from lakeloom.sources import items as source
+from lakeloom.sources import catalog, items as source
 from lakeloom.streaming import ingest
 
 CFG = FuzzyConfig(enable=True)
@@ -485,6 +486,15 @@ def report_edges(spark, sf_dir):
     return rounded(ordered.select("scope", "group_id", "a", "b", "score"), "score")
 
 
+@query
+def report_text(spark, sf_dir):
+    """The report of the parts' fuzzy groups, line by line."""
+    rows = parts(spark, sf_dir)
+    edges = cut(groups.fuzzy_edges(rows, CFG))
+    found = cut(groups.fuzzy_groups(rows, CFG, edges.where("reason = 'fuzzy'")))
+    return output.report_lines(rows, found, edges, (("largest", 0.0), ("oldest", 0.0)))
+
+
 @query
 def search_top_k(spark, sf_dir):
     return rounded(search.search(parts(spark, sf_dir), QUERY, limit=50).select("scope", "item_id", "score"), "score")
@@ -554,6 +564,45 @@ def forced_refresh(spark, sf_dir):
     return ingest.current(spark, f"{folder}/table").select("scope", "item_id", "name", "size")
 
 
+@query
+def backups_kept(spark, sf_dir):
+    """What is left of five copies, one of them unchanged, with two to keep and one to archive."""
+    rows, folder = docs(spark, sf_dir), f"{checkpoint_dir(spark)}/backup-{uuid.uuid4().hex}"
+    stored = [rows.where("scope = 'de'"), rows.where("scope = 'en'"), rows.where("scope = 'en'"), rows.where("scope <> 'de'"), rows]
+    for i, df in enumerate(stored, 1):
+        storage.back_up(df, folder, f"copy{i}", keep=2, archives=1)
+    read = [storage.restored(spark, folder, c.stamp).select(F.lit(kind).alias("kind"), F.lit(c.stamp).alias("stamp"), "scope") for kind, at in (("copy", folder), ("archive", f"{folder}/{storage.ARCHIVE}")) for c in storage.copies(spark, at)]
+    return reduce(DataFrame.unionByName, read).groupBy("kind", "stamp", "scope").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def vacuumed(spark, sf_dir):
+    """Items written to many small files, and read after these were rewritten."""
+    folder = f"{checkpoint_dir(spark)}/vacuum-{uuid.uuid4().hex}"
+    source.events_as_items(table(spark, sf_dir, "events")).repartition(16).write.parquet(folder)
+    storage.vacuum(spark, folder)
+    return spark.read.parquet(folder).select("scope", "item_id", "name", "size")
+
+
+@query
+def catalog_columns(spark, sf_dir):
+    return catalog.columns(spark, sf_dir).select("table", "position", "column")
+
+
+@query
+def missing_tables(spark, sf_dir):
+    return catalog.missing(spark, sf_dir, ["cursors", "documents", "events", "ignored", "items"])
+
+
+@query
+def download_names(spark, sf_dir):
+    """Names by an event's type, of which most have no extension."""
+    mime = F.when(F.col("event_type") == "click", "audio/ogg").when(F.col("event_type") == "view", "audio/mpeg").when(F.col("event_type") == "error", "audio/nothing")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("scope"), F.col("event_id").alias("item_id"), F.when(F.col("event_type") != "view", F.concat("event_type", F.lit("."), "event_type")).alias("name"), F.lit(1).alias("size"), mime.alias("mime_type"))
+    nothing = spark.createDataFrame([], "name string, size long, mtime double")
+    return output.download_plan(rows.withColumn("name", F.when(F.col("mime_type") == "audio/ogg", "click").otherwise(F.col("name"))), nothing).select("scope", "item_id", "file_name")
+
+
 @query
 def archive_gate(spark, sf_dir):
     batches = classify.batched(docs(spark, sf_dir).select("scope", "item_id"), 20)
