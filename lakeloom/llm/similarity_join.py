@@ -24,6 +24,8 @@ times. Only a set that is sparse every time uses its empty segments too.
 3. Pairs are filtered by size and by the Hamming distance of whole sketches, then verified on the sets.
 4. Components of verified links give the class id of every document.
 
+Texts and sets are never dealt by id to choose some of them: the chosen ids travel to them (``among``).
+
 Nothing is left out: every pair of sets at or over the threshold meets in 2 and is verified in 3.
 
 Edge cases: a null, empty or blank text has an empty set and links with nothing (its class is itself); a text of
@@ -50,6 +52,7 @@ from pyspark.sql import types as T
 
 from lakeloom.llm.textcore import mixed, texts
 from lakeloom.operators.components import connected_components
+from lakeloom.operators.membership import among
 from lakeloom.plans.runtime import col, cut, free_name
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
@@ -63,8 +66,8 @@ BLOCK_TOKENS, BLOCK_SETS = 250_000, 1_500
 SPLITS = 4
 #: Bytes of texts that are split into words at a time.
 BATCH_BYTES = 1 << 20
-#: Document ids that may be broadcast.
-BROADCAST_IDS = 100_000
+#: Rows of clusters that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def ngram_sets(bodies: Iterable[bytes | None], width: int) -> Iterator[np.ndarray]:
@@ -216,8 +219,8 @@ def bucket_rows(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """id, n, band, the sketch in every band that the set goes to, its own first, and the set; copies pass through."""
-    own_schema = _schema(docs, "id", "n long, band int, sketches array<array<long>>, members array<long>, copies long")
+    """id, n, band, the sketch in every band that the set goes to, its own first, and the set."""
+    own_schema = _schema(docs, "id", "n long, band int, sketches array<array<long>>, members array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,9 +228,8 @@ def sets_of(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
             size = first = 0
 
             def out(upto: int) -> pa.RecordBatch:
-                ids, copies = batch.column(0).slice(first, upto - first), batch.column(2).slice(first, upto - first)
                 n, own, sketches, members = zip(*held, strict=True)
-                return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(own, pa.int32()), pa.array(sketches, pa.list_(pa.list_(pa.int64()))), pa.array(members, pa.list_(pa.int64())), copies], own_schema.fieldNames())
+                return pa.RecordBatch.from_arrays([batch.column(0).slice(first, upto - first), pa.array(n, pa.int64()), pa.array(own, pa.int32()), pa.array(sketches, pa.list_(pa.list_(pa.int64()))), pa.array(members, pa.list_(pa.int64()))], own_schema.fieldNames())
 
             # Batches of a bounded number of n-grams, as sets take more room than their texts.
             for k, s in enumerate(ngram_sets(texts(batch, "text"), width)):
@@ -239,12 +241,12 @@ def sets_of(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
             if held:
                 yield out(batch.num_rows)
 
-    return docs.select("doc_id", "text", "copies").mapInArrow(run, own_schema)
+    return docs.select("doc_id", "text").mapInArrow(run, own_schema)
 
 
-def bounded(ids: DataFrame) -> DataFrame:
-    """A checkpointed list of ids, to be broadcast if it is short enough, else joined by shuffle."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def bounded(rows: DataFrame) -> DataFrame:
+    """Checkpointed rows of clusters, to be broadcast if they are few enough, else joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, small: int = SMALL) -> DataFrame:
@@ -267,7 +269,7 @@ def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     copies = cut(classes.select(F.col("rep").alias("id"), "copies"))
     others = cut(keyed.where("doc_id is not null").select(F.col("doc_id").alias("other")).distinct().join(copies, F.col("other") == F.col("id"), "left_anti"))
     again = not keyed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    links, forest = _links(docs, copies, others, width, bands, small, again)
+    links, forest = _links(docs, keyed.select("doc_id"), copies, others, width, bands, small, again)
     if repeated:
         first = real.groupBy(F.col("doc_id.doc_id").alias("one")).agg(F.min(F.struct("doc_id", "f1", "f2")).alias("a"))
         tied = real.select("f1", "f2", F.col("doc_id.doc_id").alias("two")).distinct().join(first, F.col("one") == F.col("two"))
@@ -293,10 +295,9 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options: Any) -> D
     return docs.join(bounded(dropped), col(doc_id) == F.col(gone), "left_anti")
 
 
-def _links(docs: DataFrame, copies: DataFrame, others: DataFrame, width: int, bands: Bands, small: int, again: bool) -> tuple[DataFrame, DataFrame]:
+def _links(docs: DataFrame, known: DataFrame, copies: DataFrame, others: DataFrame, width: int, bands: Bands, small: int, again: bool) -> tuple[DataFrame, DataFrame]:
     """Links of every class representative as (id, n_links), counting copies, and edges (a, b) that span the links."""
-    # The other copies are the shorter list; without copies nothing is joined.
-    reps = docs.join(bounded(others), F.col("doc_id") == F.col("other"), "left_anti").where("doc_id is not null")
+    reps = among(docs, "doc_id", others, known, out=True).where("doc_id is not null")
     by_key = W.partitionBy("key")
     met = cut(
         bucket_rows(reps, width, bands)
@@ -306,11 +307,12 @@ def _links(docs: DataFrame, copies: DataFrame, others: DataFrame, width: int, ba
     )
     dense = cut(connected_components(met.where(F.col("size") > small).select(F.col("leader").alias("a"), F.col("id").alias("b"))).withColumnsRenamed({"id": "dense_id", "component": "dense"}))
     pairs = _pairs(met.where(F.col("size") <= small).select("key", "id"), dense)
-    involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("dense_id")).distinct().join(copies, "id"))
-    sets = sets_of(docs.join(bounded(involved), F.col("doc_id") == F.col("id")), width, bands)
+    involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("dense_id")).distinct())
+    sets = sets_of(among(docs, "doc_id", involved, known), width, bands)
     sets = cut(sets.dropDuplicates(["id"]) if again else sets)
-    good = cut(_verified(pairs, sets, bands))
-    far = _dense(sets, dense, bands)
+    counted = lambda s: copies.select(F.col("id").alias(f"id_{s}"), F.col("copies").alias(f"copies_{s}"))
+    good = cut(_verified(pairs, sets, involved, bands).join(counted("a"), F.col("a") == F.col("id_a")).join(counted("b"), F.col("b") == F.col("id_b")).select("a", "b", "copies_a", "copies_b"))
+    far = _dense(sets, involved, cut(dense.join(copies, F.col("dense_id") == F.col("id")).select("dense_id", "dense", "copies")), bands)
     ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("copies_b").alias("n_links")), F.struct(F.col("b").alias("id"), F.col("copies_a").alias("n_links"))))
     links = good.select(ends.alias("e")).select("e.*").unionByName(far.where("b is null").select(F.col("a").alias("id"), "n_links"))
     return links, good.select("a", "b").unionByName(far.where("b is not null").select("a", "b"))
@@ -328,9 +330,9 @@ def _pairs(rows: DataFrame, dense: DataFrame) -> DataFrame:
     return cut(together.select(F.explode(F.flatten(F.transform("xs", partners))).alias("p")).select("p.*").distinct())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs that link, with the copies of both."""
-    light = sets.select("id", "n", "band", "sketches", "copies")
+def _verified(pairs: DataFrame, sets: DataFrame, known: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) that link."""
+    light = sets.select("id", "n", "band", "sketches")
     side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns])
     both = pairs.join(side(light, "a"), F.col("a") == F.col("id_a")).join(side(light, "b"), F.col("b") == F.col("id_b"))
     upper = F.greatest("band_a", "band_b")
@@ -339,17 +341,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     distance = F.coalesce(F.aggregate(F.zip_with(in_upper("a"), in_upper("b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y), F.lit(0))
     total = F.col("n_a") + F.col("n_b")
     near = (F.least("n_a", "n_b") * bands.den >= F.greatest("n_a", "n_b") * bands.num) & (distance * (bands.den + bands.num) <= total * (bands.den - bands.num))
-    close = cut(both.where(near).select("a", "b", "n_a", "n_b", "copies_a", "copies_b"))
+    close = cut(both.where(near).select("a", "b", "n_a", "n_b"))
     needed = cut(close.select(F.explode(F.array("a", "b")).alias("needed")).distinct())
-    full = sets.join(bounded(needed), F.col("id") == F.col("needed"), "left_semi").select("id", "members")
+    full = among(sets.select("id", "members"), "id", needed, known)
     shared = F.size(F.array_intersect("members_a", "members_b"))
     checked = close.join(side(full, "a"), F.col("a") == F.col("id_a")).join(side(full, "b"), F.col("b") == F.col("id_b"))
-    return checked.where(shared * (bands.den + bands.num) >= total * bands.num).select("a", "b", "copies_a", "copies_b")
+    return checked.where(shared * (bands.den + bands.num) >= total * bands.num).select("a", "b")
 
 
-def _dense(sets: DataFrame, dense: DataFrame, bands: Bands) -> DataFrame:
-    """Links inside dense clusters: rows (id, null, n_links) and edges (a, b, null) that span them."""
-    members = sets.join(bounded(dense), F.col("id") == F.col("dense_id")).select("dense", "id", "n", "copies", "members")
+def _dense(sets: DataFrame, known: DataFrame, dense: DataFrame, bands: Bands) -> DataFrame:
+    """Links inside dense clusters (dense_id, dense, copies): rows (id, null, n_links) and edges (a, b, null) that span them."""
+    members = among(sets, "id", dense.select("dense_id"), known).join(bounded(dense), F.col("id") == F.col("dense_id")).select("dense", "id", "n", "copies", "members")
     sizes = members.groupBy("dense").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("n") / BLOCK_SETS)).cast("int").alias("blocks"))
     placed = members.join(bounded(cut(sizes)), "dense").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
