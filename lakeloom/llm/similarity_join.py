@@ -53,7 +53,7 @@ from pyspark.sql import types as T
 from lakeloom.llm.textcore import mixed, texts
 from lakeloom.operators.components import connected_components
 from lakeloom.operators.membership import among
-from lakeloom.plans.runtime import col, cut, free_name
+from lakeloom.plans.runtime import col, cut
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: A size band ends at this many times its start.
@@ -290,9 +290,8 @@ def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options: Any) -> DataFrame:
     """docs without those whose class has a smaller doc_id; of rows that share a doc_id, those of that class stay."""
     classes = similar_classes(docs, doc_id=doc_id, **options)
-    gone = free_name(docs, "dropped")
-    dropped = cut(classes.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(gone)).distinct())
-    return docs.join(bounded(dropped), col(doc_id) == F.col(gone), "left_anti")
+    dropped = cut(classes.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct())
+    return among(docs, doc_id, dropped, docs.select(col(doc_id)), out=True)
 
 
 def _links(docs: DataFrame, known: DataFrame, copies: DataFrame, others: DataFrame, width: int, bands: Bands, small: int, again: bool) -> tuple[DataFrame, DataFrame]:

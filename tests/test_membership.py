@@ -1,5 +1,6 @@
 import pytest
 
+from lakeloom.llm import similarity_join as sj
 from lakeloom.operators import membership
 from lakeloom.plans.runtime import cut
 
@@ -16,3 +17,13 @@ def test_rows_in_and_not_in_a_list(spark, monkeypatch, limits):
     assert inside.columns == rows.columns
     assert sorted(r[1] for r in inside.collect()) == sorted(f"t{i}" for i in range(2000) if i != 7 and i % 1500 % 3 == 0)
     assert sorted(r[1] for r in outside.collect()) == sorted(f"t{i}" for i in range(2000) if i == 7 or i % 1500 % 3)
+
+
+def test_a_long_list_of_copies_deals_no_texts(spark, monkeypatch):
+    """More ids than are broadcast: the texts stay where they are, and the same ones go."""
+    docs = spark.createDataFrame([(i, f"word{i % 40} " * 3 + f"end{i % 40}") for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(membership, "BROADCAST_IDS", 100)
+    left = sj.one_of_each(docs)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in left.collect()) == list(range(40))
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
