@@ -99,7 +99,8 @@ def report_lines(items: DataFrame, groups: DataFrame, edges: DataFrame, cascade:
     scored = F.format_string("score %.3f | text %.2f%s | duration %.2f | size %.2f | penalty -%.2f", "score", "name_score", display.source_suffix(F.col("text_source")), "duration_score", "size_score", "penalty")
     why = F.when(F.col("reason") == "uid", "same content").when(F.col("reason") == "meta", "same metadata").otherwise(scored)
     ranked = report_edges(edges, groups).select("scope", "group_id", F.lit(3).alias("part"), F.col("edge_rank").cast("long").alias("place"), F.concat(F.lit("    "), F.col("a").cast("string"), F.lit(" <-> "), F.col("b").cast("string"), F.lit(": "), why).alias("line"))
-    linked = ranked.groupBy("scope", "group_id").agg(F.count(F.lit(1)).alias("n"))
+    # Counted before they are ranked: a count alone needs neither their order nor their texts.
+    linked = group_edges(edges, groups).groupBy("scope", "group_id").agg(F.count(F.lit(1)).alias("n"))
     edge_heads = linked.select("scope", "group_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias("place"), F.format_string("  Links (%d):", F.col("n")).alias("line"))
     return heads.unionByName(members).unionByName(edge_heads).unionByName(ranked)
 
