@@ -5,10 +5,9 @@ lower-cased, everything else is a blank. A document's profile is compared with e
 distance: each of its n-grams costs the difference of its ranks, or the profile's length where the language lacks it.
 The nearest language wins; its score is one minus the share of the largest possible distance.
 
-Profiles are learned from labelled rows: of each language a bounded sample, by a hash of doc_id, of at most about
-``sample`` rows. Whole texts are used for learning and for prediction. ``accept`` keeps what reads like a learned
-language: the least score is learned from the sample, by the size of a document's profile, from texts and the same texts with their
-letters in random order, as short texts score higher by chance.
+Profiles are learned from all labelled rows. Whole texts are used for learning and for prediction. ``accept`` keeps what reads like a
+learned language: the least score is learned from all those rows, too, by the size of a document's profile, from texts and the same texts
+with their letters in random order, as short texts score higher by chance.
 
 Edge cases: an empty table gives an empty result; very long texts are counted whole; a null text and one without letters are ``und`` with score 0, and so is every text if nothing was learned; rows
 without a language or doc_id teach nothing; a row without doc_id counts as held out; equal counts are ordered by
@@ -17,7 +16,6 @@ n-gram, equal distances by language; repeated rows are predicted alike; further
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from typing import Any
 
@@ -32,9 +30,13 @@ from lakeloom.llm.textcore import map_batches, texts
 from lakeloom.llm.ranking import bounded
 from lakeloom.plans.runtime import col, cut, free_name
 
-LENGTH, SAMPLE, FOLDS = 300, 2_000, 5
-#: Rows of each language whose texts, and whose letters in random order, set the least score of a known language.
-CALIBRATION, MARGIN = 200, 0.2
+LENGTH, FOLDS = 300, 5
+#: Rows of each language that teach: all.
+SAMPLE: int | None = None
+#: N-grams of a language that a task counts at once.
+GRAMS = 1 << 20
+#: How far the least score lies from that of shuffled texts to that of real ones.
+MARGIN = 0.2
 #: Sizes of a document's profile from which another least score holds.
 SIZES = (0, 16, 32, 64, 96, 128, 160, 200, 250, 300)
 UNKNOWN = "und"
@@ -100,29 +102,45 @@ def held_out(doc_id: str, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def sampled(docs: DataFrame, *, text: str, lang: str, doc_id: str, sample: int) -> DataFrame:
-    """lang, text and a hash h of a bounded sample of each language, written once."""
-    known = docs.select(col(lang).cast("string").alias("lang"), col(text).alias("text"), F.pmod(F.xxhash64(F.lit(1), col(doc_id)), F.lit(1_000_000)).alias("h")).where("lang is not null and text is not null and h is not null")
+def sampled(docs: DataFrame, *, text: str, lang: str, doc_id: str, sample: int | None = SAMPLE) -> DataFrame:
+    """lang, text and a hash h of every row that teaches; of at most about ``sample`` rows of each language, if that is given."""
+    known = docs.select(col(lang).cast("string").alias("lang"), col(text).alias("text"), F.pmod(F.xxhash64(F.lit(1), col(doc_id)), F.lit(1_000_000)).cast("int").alias("h"), col(doc_id).isNotNull().alias("named")).where("lang is not null and text is not null and named").drop("named")
+    if sample is None:
+        return known
     counts = bounded(cut(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))).withColumnRenamed("lang", "l"))
-    return cut(known.join(counts, F.col("lang") == F.col("l")).where(F.col("h") < F.col("share") * 1_000_000).select("lang", "text", (F.col("h") / F.col("share")).cast("int").alias("h")))
+    return known.join(counts, F.col("lang") == F.col("l")).where(F.col("h") < F.col("share") * 1_000_000).select("lang", "text", "h")
 
 
-def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", length: int = LENGTH, sample: int = SAMPLE) -> Model:
-    """Profiles of the languages of docs, from a bounded sample of each."""
-    return _learned(sampled(docs, text=text, lang=lang, doc_id=doc_id, sample=sample), length)
+def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", length: int = LENGTH) -> Model:
+    """Profiles of the languages of docs, from all their labelled rows."""
+    return _learned(sampled(docs, text=text, lang=lang, doc_id=doc_id), length)
 
 
 def _learned(picked: DataFrame, length: int) -> Model:
+    at_once = GRAMS
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, held = letter_table(), {}
+        waiting: dict[str, list[np.ndarray]] = {}
+        size: dict[str, int] = {}
+
+        def add(name: str) -> None:
+            codes, n = np.unique(np.concatenate(waiting.pop(name)), return_counts=True)
+            was = held.get(name, (np.empty(0, np.int64), np.empty(0, np.int64)))
+            both, at = np.unique(np.concatenate((was[0], codes)), return_inverse=True)
+            total = np.zeros(len(both), np.int64)
+            np.add.at(total, at, np.concatenate((was[1], n)))
+            held[name], size[name] = (both, total), 0
+
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
-                codes, n = np.unique(ngrams(body, letters), return_counts=True)
-                was = held.setdefault(name, (np.empty(0, np.int64), np.empty(0, np.int64)))
-                both, at = np.unique(np.concatenate((was[0], codes)), return_inverse=True)
-                total = np.zeros(len(both), np.int64)
-                np.add.at(total, at, np.concatenate((was[1], n)))
-                held[name] = both, total
+                grams = ngrams(body, letters)
+                waiting.setdefault(name, []).append(grams)
+                size[name] = size.get(name, 0) + len(grams)
+                if size[name] >= at_once:
+                    add(name)
+        for name in list(waiting):
+            add(name)
         for name, (codes, n) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "gram", "n"])
 
@@ -134,36 +152,37 @@ def _learned(picked: DataFrame, length: int) -> Model:
     return profiles_of(by_lang)
 
 
-def least_scores(picked: DataFrame, model: Model, length: int = LENGTH, rows: int = CALIBRATION, sample: int = SAMPLE, margin: float = MARGIN) -> list[float]:
+def least_scores(picked: DataFrame, model: Model, length: int = LENGTH, margin: float = MARGIN) -> list[float]:
     """For every size of SIZES the least score of a text in a known language.
 
-    Whole texts of the sample and their first 1, 2, 4, ... words are scored as they are and with their letters in random order. Where the 1 %
-    quantile of the real ones lies above the median of the shuffled ones, the bound is ``margin`` of the way from this to that;
-    elsewhere the two cannot be told apart and all texts pass.
+    All whole texts and their first 1, 2, 4, ... words are scored as they are and with their letters in random order. Where the 1 % quantile of the real ones lies above the median of the shuffled ones, the bound is ``margin`` of the way
+    from this to that; elsewhere the two cannot be told apart and all texts pass.
     """
     held = picked.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
+
+        def shuffled(part: str, rng: np.random.Generator) -> bytes:
+            points = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32).copy()
+            at = np.flatnonzero(letters[points])
+            points[at] = rng.permutation(points[at])
+            return points.tobytes().decode("utf-32-le", "replace").encode("utf-8", "replace")
+
         for batch in batches:
             sizes, real, mixed = [], [], []
             for body, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, rng = body.split(), random.Random(h)
-                parts = [" ".join(words[: 1 << k]) for k in range(len(words).bit_length())]
-                for part in [*parts, body]:
-                    order = [c for c in part if c.isalpha()]
-                    rng.shuffle(order)
-                    other = iter(order)
-                    shuffled = "".join(next(other) if c.isalpha() else c for c in part)
+                rng = np.random.Generator(np.random.SFC64(h))
+                words = body.split()
+                for part in [*(" ".join(words[: 1 << k]) for k in range(len(words).bit_length())), body]:
                     profile = top(ngrams(part.encode("utf-8", "replace"), letters), length)
                     if len(profile):
                         sizes.append(int(np.searchsorted(SIZES, len(profile), side="right")) - 1)
                         real.append(nearest(held.value, profile, length)[1])
-                        mixed.append(nearest(held.value, top(ngrams(shuffled.encode("utf-8", "replace"), letters), length), length)[1])
+                        mixed.append(nearest(held.value, top(ngrams(shuffled(part, rng), letters), length), length)[1])
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(real, pa.float64()), pa.array(mixed, pa.float64())], ["size", "real", "mixed"])
 
-    few = picked.where(F.col("h") < int(1_000_000 * min(1.0, rows / sample))).select("text", "h")
-    found = few.mapInArrow(score, "size int, real double, mixed double").groupBy("size").agg(F.percentile_approx("real", 0.01, 10_000).alias("real"), F.percentile_approx("mixed", 0.5, 10_000).alias("mixed"))
+    found = picked.select("text", "h").mapInArrow(score, "size int, real double, mixed double").groupBy("size").agg(F.percentile_approx("real", 0.01, 10_000).alias("real"), F.percentile_approx("mixed", 0.5, 10_000).alias("mixed"))
     least = [0.0] * len(SIZES)
     for r in found.collect():
         if r.real > r.mixed:
@@ -192,18 +211,18 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", into: str = "l
     return map_batches(docs.select(*[col(c) for c in dict.fromkeys([*keep, text])]), run, schema)
 
 
-def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", length: int = LENGTH, sample: int = SAMPLE) -> DataFrame:
+def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score; learned from the rows that are not held out."""
-    model = learn(docs.where(~held_out(doc_id)), text=text, lang=lang, doc_id=doc_id, length=length, sample=sample)
+    model = learn(docs.where(~held_out(doc_id)), text=text, lang=lang, doc_id=doc_id, length=length)
     found = predict(docs, model, text=text, keep=[doc_id], into=free_name(docs, "language"), length=length)
     into = found.columns[-1]
     return found.select(col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(f"{into}.lang").alias("lang_pred"), F.col(f"{into}.score").alias("score"))
 
 
-def accept(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", length: int = LENGTH, sample: int = SAMPLE, calibration: int = CALIBRATION, margin: float = MARGIN) -> DataFrame:
+def accept(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", length: int = LENGTH, margin: float = MARGIN) -> DataFrame:
     """docs that read like one of the languages learned, with their columns; text of none of them goes, and text without letters."""
-    picked = sampled(docs.where(~held_out(doc_id)), text=text, lang=lang, doc_id=doc_id, sample=sample)
+    picked = sampled(docs.where(~held_out(doc_id)), text=text, lang=lang, doc_id=doc_id)
     model = _learned(picked, length)
     into = free_name(docs, "language")
-    found = predict(docs, model, text=text, into=into, length=length, least=least_scores(picked, model, length, calibration, sample, margin))
+    found = predict(docs, model, text=text, into=into, length=length, least=least_scores(picked, model, length, margin))
     return found.where(f"{into}.known").select(*[col(c) for c in docs.columns])

@@ -97,3 +97,14 @@ def test_edge_cases(spark):
     assert li.accept(df).columns == df.columns and {r.doc_id for r in li.accept(df).collect()} >= {1, 2}
     held = {r.doc_id: r.h for r in df.select("doc_id", li.held_out("doc_id").alias("h")).collect()}
     assert held[None] is True
+
+
+def test_every_labelled_row_teaches(spark):
+    # More rows of a language than any sample of thousands: each brings a letter of its own.
+    rows = [(i, chr(0x4E00 + i), "zh") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(li.learn(df, length=50_000)[1]) == 4 * len(rows)
+    one = spark.createDataFrame([(i, "der Hund und die Katze gehen in den Wald hinein" if i < 5000 else "qqqq wwww xxxx zzzz", "de") for i in range(10_000)], "h int, text string, lang string")
+    model = li.profiles_of({"de": li.top(li.ngrams("der Hund und die Katze gehen in den Wald hinein".encode(), li.letter_table()), li.LENGTH).tolist()})
+    # Half of the rows read like nothing known, so their scores are the 1 % quantile.
+    assert max(li.least_scores(one, model)) < max(li.least_scores(one.where("h < 5000"), model))
