@@ -79,3 +79,12 @@ def test_file_names(spark):
 @pytest.mark.parametrize(("text", "width"), [("abc", 3), ("日本", 4), ("é", 1), (None, 0)])
 def test_width(text, width):
     assert display.width_of(text) == width
+
+
+def test_staged_patterns_change_nothing(spark):
+    fronts = ["", " ", "\u00a0", "12345 - ", "1234567_", "ruapporangespace. ", "[x.com] ", "12 "]
+    backs = ["", ".mp3", ".MP3.flac\n", " (3)", "-[7].m4a\n", " mp3pulse_ru" + " " * 15, "_ZVUK" + "-." * 30, " 12345678", "\u00a0", "\u0661234567890", "-12345678901"]
+    names = [(f + m + b,) for f in fronts for m in ("", "Blue Harbour", "Über", "7") for b in backs]
+    df = spark.createDataFrame([*names, (None,)], "name string")
+    pairs = df.select("name", N.clean_name(F.col("name")).alias("plain"), N.clean_name(F.col("name"), staged=True).alias("staged")).collect()
+    assert [r.staged for r in pairs] == [r.plain for r in pairs]

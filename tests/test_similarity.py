@@ -49,3 +49,17 @@ def test_batches_equal_single_pairs():
             least = S.np.array([rng.choice([0, 40, 60, 90]) for _ in a], float)
             for got, x, bound in zip(many(a, b, least), want, least):
                 assert got == pytest.approx(x) if x >= bound else S.np.isnan(got) or got == pytest.approx(x)
+
+
+def test_pairs_are_given_up_only_below_what_is_asked():
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    a = [word(rng.randint(0, 500)) for _ in range(300)]
+    b = [word(rng.randint(0, 500)) if i % 2 else "".join(c for c in t if rng.random() > 0.1) for i, t in enumerate(a)]
+    want = [S.common_length(x, y) for x, y in zip(a, b)]
+    for share in (0.7, 1, 1.2):
+        least = S.np.array(want) * share
+        one = [S.common_length(x, y, n) for x, y, n in zip(a, b, least)]
+        for got in (one, list(S.common_lengths(a, b, least))):
+            assert all(g == w or (g == -1 and w < n) for g, w, n in zip(got, want, least))
+            assert share <= 1 or -1 in got
