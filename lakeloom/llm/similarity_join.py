@@ -18,9 +18,11 @@ which it meets every linked set that is not sparse, and is split anew by another
 times. Only a set that is sparse every time uses its empty segments too.
 
 1. Equal sets form a class; its smallest doc_id stands for it.
-2. Classes that meet in a segment form a bucket. Buckets of at most ``small`` classes give their pairs; classes that larger
-   buckets tie together form a dense cluster, which is cut into blocks of bounded size, and each two blocks are compared
-   by one task that returns links counted and a spanning forest, never all pairs.
+2. Classes that meet in a segment form a bucket. Buckets of at most ``small`` classes give their pairs; larger ones that have the
+   same smallest class make one dense cluster, which is cut into blocks of bounded size, and each two blocks are compared
+   by one task that returns links counted and a spanning forest, never all pairs. Near copies share most of their buckets, so
+   they are in few clusters; a pair that is in several counts in the first. Clusters that share classes are not united: chance
+   ties would unite ever more of a growing table.
 3. Pairs are filtered by size and by the Hamming distance of whole sketches, then verified on the sets.
 4. Components of verified links give the class id of every document.
 
@@ -53,7 +55,7 @@ from pyspark.sql import types as T
 from lakeloom.llm.textcore import mixed, texts
 from lakeloom.operators.components import connected_components
 from lakeloom.operators.membership import among
-from lakeloom.plans.runtime import col, cut
+from lakeloom.plans.runtime import col, cut, swept
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: A size band ends at this many times its start.
@@ -66,6 +68,8 @@ BLOCK_TOKENS, BLOCK_SETS = 250_000, 1_500
 SPLITS = 4
 #: Bytes of texts that are split into words at a time.
 BATCH_BYTES = 1 << 20
+#: Low bits of a bucket's key that are not kept: buckets that then share a key give pairs that are not links, and fewer bytes are dealt.
+KEY_BITS_CUT = 16
 #: Rows of clusters that may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -209,11 +213,12 @@ def class_keys(docs: DataFrame, width: int) -> DataFrame:
 
 def bucket_rows(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     """A row (id, key) for every bucket of every document."""
+    cut_bits = KEY_BITS_CUT
 
     def make(ids: pa.Array, sets: Iterator[np.ndarray]) -> dict[str, Any]:
         keys = [bucket_keys(s, bands) for s in sets]
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        return {"id": ids.take(pa.array(owner)), "key": pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64))}
+        return {"id": ids.take(pa.array(owner)), "key": pa.array((np.concatenate([*keys, np.empty(0, np.uint64)]) >> np.uint64(cut_bits)).view(np.int64))}
 
     return _map(docs.select("doc_id", "text"), make, _schema(docs, "id", "key long"), width)
 
@@ -304,26 +309,35 @@ def _links(docs: DataFrame, known: DataFrame, copies: DataFrame, others: DataFra
         .where("size > 1")
         .withColumn("leader", F.min("id").over(by_key))
     )
-    dense = cut(connected_components(met.where(F.col("size") > small).select(F.col("leader").alias("a"), F.col("id").alias("b"))).withColumnsRenamed({"id": "dense_id", "component": "dense"}))
+    swept(docs.sparkSession)
+    dense = clusters(met.where(F.col("size") > small))
     pairs = _pairs(met.where(F.col("size") <= small).select("key", "id"), dense)
     involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("dense_id")).distinct())
     sets = sets_of(among(docs, "doc_id", involved, known), width, bands)
     sets = cut(sets.dropDuplicates(["id"]) if again else sets)
     counted = lambda s: copies.select(F.col("id").alias(f"id_{s}"), F.col("copies").alias(f"copies_{s}"))
+    swept(docs.sparkSession)
     good = cut(_verified(pairs, sets, involved, bands).join(counted("a"), F.col("a") == F.col("id_a")).join(counted("b"), F.col("b") == F.col("id_b")).select("a", "b", "copies_a", "copies_b"))
-    far = _dense(sets, involved, cut(dense.join(copies, F.col("dense_id") == F.col("id")).select("dense_id", "dense", "copies")), bands)
+    far = _dense(sets, involved, cut(dense.join(copies, F.col("dense_id") == F.col("id")).select("dense_id", "clusters", "copies")), bands)
     ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("copies_b").alias("n_links")), F.struct(F.col("b").alias("id"), F.col("copies_a").alias("n_links"))))
     links = good.select(ends.alias("e")).select("e.*").unionByName(far.where("b is null").select(F.col("a").alias("id"), "n_links"))
     return links, good.select("a", "b").unionByName(far.where("b is not null").select("a", "b"))
 
 
+def clusters(rows: DataFrame) -> DataFrame:
+    """(dense_id, clusters) of the classes in large buckets, rows (id, leader): the numbers of their clusters, one for each leader."""
+    tied = cut(rows.select("leader", F.col("id").alias("dense_id")).distinct())
+    numbers = cut(tied.select(F.col("leader").alias("_leader")).distinct().withColumn("dense", F.monotonically_increasing_id()))
+    return cut(tied.join(bounded(numbers), F.col("leader") == F.col("_leader")).groupBy("dense_id").agg(F.array_sort(F.collect_list("dense")).alias("clusters")))
+
+
 def _pairs(rows: DataFrame, dense: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of the classes of a bucket that are not of one dense cluster."""
-    known = rows.join(dense, F.col("id") == F.col("dense_id"), "left").select("key", F.struct("id", "dense").alias("x"))
+    """Distinct pairs (a, b), a < b, of the classes of a bucket that have no dense cluster in common."""
+    known = rows.join(dense, F.col("id") == F.col("dense_id"), "left").select("key", F.struct("id", "clusters").alias("x"))
     together = known.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("xs"))
 
     def partners(x: Column, i: Column) -> Column:
-        later = F.filter(F.slice("xs", i + 2, F.size("xs")), lambda y: (y["id"] > x["id"]) & ~F.coalesce(x["dense"] == y["dense"], F.lit(False)))
+        later = F.filter(F.slice("xs", i + 2, F.size("xs")), lambda y: (y["id"] > x["id"]) & ~F.coalesce(F.arrays_overlap(x["clusters"], y["clusters"]), F.lit(False)))
         return F.transform(later, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
 
     return cut(together.select(F.explode(F.flatten(F.transform("xs", partners))).alias("p")).select("p.*").distinct())
@@ -349,12 +363,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, known: DataFrame, bands: Bands)
 
 
 def _dense(sets: DataFrame, known: DataFrame, dense: DataFrame, bands: Bands) -> DataFrame:
-    """Links inside dense clusters (dense_id, dense, copies): rows (id, null, n_links) and edges (a, b, null) that span them."""
-    members = among(sets, "id", dense.select("dense_id"), known).join(bounded(dense), F.col("id") == F.col("dense_id")).select("dense", "id", "n", "copies", "members")
+    """Links inside the clusters of dense (dense_id, clusters, copies): rows (id, null, n_links) and edges (a, b, null) that span them."""
+    members = among(sets, "id", dense.select("dense_id"), known).join(bounded(dense), F.col("id") == F.col("dense_id")).select(F.explode("clusters").alias("dense"), "clusters", "id", "n", "copies", "members")
     sizes = members.groupBy("dense").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("n") / BLOCK_SETS)).cast("int").alias("blocks"))
-    placed = members.join(bounded(cut(sizes)), "dense").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Only clusters of several blocks are listed: a list of all could be too long to broadcast, and a join dealt by cluster would
+    # bring all copies of one into one task, as its order does for the groups below.
+    several = cut(sizes.where("blocks > 1").withColumnRenamed("dense", "_dense"))
+    placed = members.join(bounded(several), F.col("dense") == F.col("_dense"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = placed.withColumn("other", other).select("dense", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "copies", "members")
+    tasks = placed.withColumn("other", other).select("dense", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "copies", F.filter("clusters", lambda c: c < F.col("dense")).alias("before"), "members")
     num, den = bands.num, bands.den
 
     def compare(key: tuple[Any, ...], group: pa.Table) -> pa.Table:
@@ -374,10 +392,14 @@ def _dense(sets: DataFrame, known: DataFrame, dense: DataFrame, bands: Bands) ->
             return x
 
         common = shared_counts(members)
+        # Pairs that an earlier cluster has, too, count there.
+        before = [group.column("before")[int(k)].values.to_numpy() for k in order]
+        if any(map(len, before)):
+            common[shared_counts(before) > 0] = -1
         rows = range(split) if i != j else range(len(ids))
         for r in rows:
             cols = np.arange(split, len(ids)) if i != j else np.arange(r + 1, len(ids))
-            linked = cols[common[r, cols] * (den + num) >= (n[r] + n[cols]) * num]
+            linked = cols[common[r, cols].astype(np.int64) * (den + num) >= (n[r] + n[cols]) * num]
             degree[r] += copies[linked].sum()
             degree[linked] += copies[r]
             for c in linked.tolist():
@@ -409,4 +431,4 @@ def shared_counts(members: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(members), min(step, len(grams) - at)), np.float32)
         x[owner[here], gram[here] - at] = 1
         common += x @ x.T
-    return common.astype(np.int64)
+    return common

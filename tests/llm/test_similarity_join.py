@@ -52,6 +52,25 @@ def test_finds_every_link(spark, monkeypatch, seed, bases, copies, edits, length
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == brute(rows)
 
 
+def test_clusters_that_share_classes_are_not_united(spark):
+    """A chain of buckets, each sharing a class with the next: one cluster a bucket, not one of all, and buckets of one leader together."""
+    buckets = {1: range(1, 6), 2: range(5, 10), 3: range(9, 14), 4: [1, 2, 14]}
+    rows = spark.createDataFrame([(x, min(b)) for b in buckets.values() for x in b], "id long, leader long")
+    found = {}
+    for r in sj.clusters(rows).collect():
+        assert r.clusters == sorted(set(r.clusters))
+        for c in r.clusters:
+            found.setdefault(c, set()).add(r.dense_id)
+    assert sorted(map(sorted, found.values())) == [[1, 2, 3, 4, 5, 14], [5, 6, 7, 8, 9], [9, 10, 11, 12, 13]]
+
+
+def test_pairs_of_several_clusters_count_once(spark, monkeypatch):
+    monkeypatch.setattr(sj, "BLOCK_SETS", 20)
+    rows = corpus(5, 4, 30, 12, 90)
+    got = sj.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), small=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == brute(rows)
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one  TWO"), (6, "a b c d"), (None, "a b c d"), (7, "A b c d"), (8, "É b c d"), (9, "é b c d"), (10, "x " * 30000), (11, "x " * 20000)]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n_links int")
